@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, secrets, tokens
+from ..session import ship
+
+from . import decontaminate, media, mixing, secrets, similarity, substrings, tokens
 from .shared import table
 
 
@@ -16,6 +20,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed_words(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(table(spark, sf_dir, "documents"))
 
@@ -24,8 +36,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shipped(f):
+    """The query, with this package sent to the workers first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(ship(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: _shipped(f) for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import free_name
 
 Q = 8
 #: Share of an item's length that edits may make up.
@@ -239,8 +238,22 @@ def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_i
     return out
 
 
-def remove(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of *df* whose texts hold no occurrence of a benchmark item."""
-    bad = free_name("_bad_id", df.columns)
-    hits = occurrences(df, benchmark, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias(bad)).distinct()
-    return df.join(hits, df[doc_id].cast("bigint") == F.col(bad), "left_anti")
+def remove(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of *df*, with all columns, whose texts hold no occurrence of a
+    benchmark item; a filter where the rows lie, in as many passes as the items take."""
+    place, schema = df.columns.index(text), df.schema
+    for rows in _passes(benchmark, item_id, item_text):
+        sent = df.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+
+        def run(batches, sent=sent):
+            items = Items(sent.value, edits)
+            for batch in batches:
+                raw, offsets = K.string_bytes(batch.column(place))
+                clean = np.ones(batch.num_rows, bool)
+                for i, j in K.blocks(offsets):
+                    for t, *_ in items.search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                        clean[i + t] = False
+                yield batch.filter(pa.array(clean))
+
+        df = df.mapInArrow(run, schema)
+    return df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
-from . import decontaminate, media, mixing, secrets, similarity, substrings, tokens
+from . import decontaminate, media, mixing, pages, quality, secrets, similarity, substrings, tokens, toxicity
 from .shared import table
 
 
@@ -32,6 +32,18 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 

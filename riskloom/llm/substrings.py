@@ -192,7 +192,7 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     base = keep(docs.mapInArrow(_digests, "doc_id bigint, n_words bigint, digest binary"), "substrings-base")
     # Equal word sequences: only the first is searched; in the others every window goes.
     firsts = base.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies"))
-    copies = firsts.filter("copies > 1")
+    copies = keep(firsts.filter("copies > 1").select("digest", "leader"), "substrings-classes")
     followers = keep(
         base.join(copies, "digest").filter("doc_id > leader").select("doc_id", F.col("digest").alias("gone")).distinct(), "substrings-copies"
     )
@@ -203,6 +203,8 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     shards = keep(docs.join(lists, docs.doc_id == lists.doc).select("doc_id", "text", "phrases"), "substrings-shards")
     windows = keep(shards.mapInArrow(_locate(window, phrase), "h1 bigint, h2 bigint, doc bigint, start int"), "substrings-windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("h1", "h2", "least")
+    # Written first, so that the join deals both sides anew and can split a passage that very many documents share.
+    first = keep(first, "substrings-first")
     gone = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_set("start").alias("starts"))
     texts = shards.select("doc_id", "text")
     left = texts.join(gone, texts.doc_id == gone.doc).select("doc_id", "text", "starts").mapInArrow(_rest(window), "doc bigint, n_removed bigint, kept_sha256 string")

@@ -270,7 +270,9 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     base = survey.filter("token is null").select("doc", "n", "k1", "k2")
     # Equal sets are one class, led by its smallest id.
     classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("leader"), F.count("*").alias("members"))
-    followers = keep(base.join(classes.filter("members > 1").drop("members"), ["n", "k1", "k2"]).filter("doc > leader").select("doc", "leader").distinct(), "similarity-copies")
+    # Written first, so that the join deals both sides anew and can split a text that very many rows share.
+    classes = keep(classes.filter("members > 1").drop("members"), "similarity-classes")
+    followers = keep(base.join(classes, ["n", "k1", "k2"]).filter("doc > leader").select("doc", "leader").distinct(), "similarity-copies")
     sets = docs.mapInArrow(_prefixes(shingle, percent, sent), "doc bigint, n bigint, prefix array<bigint>, classes binary")
     sets = keep(sets.filter("n > 0").join(followers.select("doc"), "doc", "left_anti"), "similarity-prefixes")
     entries = sets.select("doc", "n", F.posexplode("prefix").alias("place", "token"))

@@ -321,7 +321,7 @@ SELECT ord, level || '[' || code || ']: `' || name || '` has high change-risk sc
 || CASE WHEN coverage_pct < 50 THEN '  = help: coverage is ' || format('{{:.0f}}', coverage_pct) || '% — add tests to reduce risk' || chr(10) ELSE '' END
 || CASE WHEN complexity >= 10 THEN '  = help: cyclomatic complexity is ' || CAST(complexity AS VARCHAR) || ' — consider splitting into smaller functions' || chr(10) ELSE '' END
 || CASE WHEN idiom_penalty > 1 THEN '  = note: idiom penalty ' || format('{{:.2f}}', idiom_penalty) || 'x applied' || chr(10) ELSE '' END
-|| CASE WHEN len(checks) > 0 THEN array_to_string(list_transform(checks, c -> '  = help: ' || CASE c {" ".join(f"WHEN '{r[0]}' THEN '{r[2]}'" for r in RULES)} END), chr(10)) || chr(10) ELSE '' END
+|| CASE WHEN len(checks) > 0 THEN array_to_string(list_transform(checks, lambda c: '  = help: ' || CASE c {" ".join(f"WHEN '{r[0]}' THEN '{r[2]}'" for r in RULES)} END), chr(10)) || chr(10) ELSE '' END
 || CASE WHEN sig_duplicate THEN '  = help: signature duplicate — another function has the same (params)->return type' || chr(10) ELSE '' END
 || CASE WHEN body_duplicate THEN '  = help: body duplicate — another function has the same structure' || chr(10) ELSE '' END AS report_line FROM t""")
 def _(s, d):

@@ -1,2 +1,116 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Parser-based queries over our own short sources, with their known results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import static
+from ..operators.duplicates import check_duplicates
+from ..sources.project import target_dirs, test_binaries
+
+SOURCES = (
+    ("/s/branches.rs", """
+fn plain() -> i32 { 1 + 2 }
+fn one(a: bool) { if a { } else { } }
+fn lazy(a: bool, b: bool, c: bool) -> bool { a && b || c }
+fn arms(x: u8) -> u8 { match x { 1 => 2, 2 | 3 => 4, _ => 0 } }
+fn loops() { while go() {} for i in 0..3 {} loop { break; } }
+fn hidden() { let f = |x| if x { 1 } else { 2 }; }
+fn asks() -> Result<u8, E> { let v = read()?; Ok(v) }
+fn outer() { fn inner(a: bool) { if a {} } if true {} }
+"""),
+    ("/s/names.rs", """
+struct Foo { a: u8 }
+impl Foo { fn get(&self) -> u8 { self.a } }
+impl fmt::Display for Foo { fn fmt(&self, f: &mut F) -> R { Ok(()) } }
+trait Draw { fn draw(&self) { if self.on() {} } fn on(&self) -> bool; }
+#[test] fn checks() {}
+#[allow(crappy)] fn quiet() {}
+#[cfg(test)] mod tests { fn helper() {} }
+mod inner { pub fn deep() {} }
+"""),
+    ("/s/idioms.rs", """
+struct Bar;
+fn method_like(b: &Bar) {}
+fn boxed() -> Result<u8, Box<dyn std::error::Error + Send>> { Ok(1) }
+fn literal(s: &str) { match s { "a" => {}, "b" => {}, _ => {} } }
+fn casts(a: u8, b: u16) -> bool { a as u16 > b }
+fn calls(v: Vec<u8>) { v.get(0).unwrap(); v.get(1).unwrap(); drop(v); }
+fn empty() -> Vec<u8> { vec![] }
+fn collects() -> Vec<u8> { Vec::from_iter(0..3) }
+fn closed() { let f = || x.unwrap(); }
+"""),
+)
+
+
+def _sources(spark) -> DataFrame:
+    return spark.createDataFrame(list(SOURCES), "file string, content string")
+
+
+def _values(rows, names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") t({names})"
+
+
+COMPLEXITY = (
+    ("plain", 2, 1), ("one", 3, 2), ("lazy", 4, 3), ("arms", 5, 4), ("loops", 6, 4), ("hidden", 7, 1), ("asks", 8, 2), ("outer", 9, 3), ("inner", 9, 2),
+    ("Foo::get", 3, 1), ("<Foo as Display>::fmt", 4, 1), ("Draw::draw", 5, 2), ("deep", 9, 1),
+    ("method_like", 3, 1), ("boxed", 4, 1), ("literal", 5, 4), ("casts", 6, 1), ("calls", 7, 1), ("empty", 8, 1), ("collects", 9, 1), ("closed", 10, 1),
+)
+FINDINGS = (
+    ("arms", "MatchOnLiteral"), ("method_like", "FreeMethodCandidate"), ("boxed", "BoxDynError"), ("literal", "MatchOnLiteral"), ("casts", "PrimitiveCastInComparison"),
+    ("calls", "Unwrap,Unwrap,ExplicitDrop"), ("empty", "EmptyVecMacro"), ("collects", "FromIterInsteadOfCollect"),
+)
+
+
+def a1_cyclomatic_complexity(spark, sf_dir):
+    return static.complexity(static.ast_nodes(_sources(spark))).select("qualified_name", "start_line", "complexity")
+
+
+def g4_idiom_findings(spark, sf_dir):
+    rows = static.idioms(static.ast_nodes(_sources(spark))).filter(F.size("checks") > 0)
+    return rows.select("qualified_name", F.array_join("checks", ",").alias("checks"))
+
+
+def g3_function_discovery(spark, sf_dir):
+    return static.function_rows(static.ast_nodes(_sources(spark))).select("qualified_name", "is_free")
+
+
+def f12_signature_fingerprints(spark, sf_dir):
+    return static.function_rows(static.ast_nodes(_sources(spark))).filter("file = '/s/names.rs'").select("qualified_name", "sig_fp")
+
+
+def a7_parsed_duplicates(spark, sf_dir):
+    rows = check_duplicates(static.idioms(static.ast_nodes(_sources(spark)))).filter("file = '/s/branches.rs'")
+    return rows.select("qualified_name", "sig_duplicate", "body_duplicate")
+
+
+METADATA = '{"packages": [{"name": "a", "targets": [{"kind": ["lib"], "src_path": "/p/a/src/lib.rs"}, {"kind": ["test"], "src_path": "/p/a/tests/t.rs"}]}, {"name": "b", "targets": [{"kind": ["bin"], "src_path": "/p/b/src/main.rs"}]}]}'
+LINES = ('{"reason": "compiler-artifact", "executable": "/t/one", "profile": {"test": true}}', '{"reason": "compiler-artifact", "executable": "/t/two", "profile": {"test": false}}', '{"reason": "compiler-artifact", "executable": null, "profile": {"test": true}}', "warning: text", '{"reason": "build-finished"}', "{broken")
+
+
+def s5_source_dirs(spark, sf_dir):
+    from .. import schemas as S
+
+    return target_dirs(spark.createDataFrame([(METADATA,)], "v string").select(F.from_json("v", S.METADATA).alias("m")).select("m.*"))
+
+
+def s6_test_binaries(spark, sf_dir):
+    return test_binaries(spark.createDataFrame([(x,) for x in LINES], "value string"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (a1_cyclomatic_complexity, g4_idiom_findings, g3_function_discovery, f12_signature_fingerprints, a7_parsed_duplicates, s5_source_dirs, s6_test_binaries)}
+
+
+def oracle_sql() -> dict[str, str]:
+    free = [(n, "::" not in n) for n, _, _ in COMPLEXITY]
+    return {
+        "a1_cyclomatic_complexity": _values(COMPLEXITY, "qualified_name, start_line, complexity"),
+        "g4_idiom_findings": _values(FINDINGS, "qualified_name, checks"),
+        "g3_function_discovery": _values(free, "qualified_name, is_free"),
+        "f12_signature_fingerprints": _values([("Foo::get", "(&Foo)->u8"), ("<Foo as Display>::fmt", "(&<Foo as Display>,&mut F)->R"), ("Draw::draw", "(&Draw)->()"), ("deep", "()->()")], "qualified_name, sig_fp"),
+        "a7_parsed_duplicates": _values([("plain", False, True), ("one", True, True), ("lazy", False, False), ("arms", False, True), ("loops", True, False), ("hidden", True, True), ("asks", False, False), ("outer", True, False), ("inner", True, True)], "qualified_name, sig_duplicate, body_duplicate"),
+        "s5_source_dirs": _values([("/p/a/src",), ("/p/b/src",)], "dir"),
+        "s6_test_binaries": _values([("/t/one",)], "executable"),
+    }

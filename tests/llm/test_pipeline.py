@@ -1,0 +1,26 @@
+"""The stages of the pipeline on a small corpus."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+
+AT = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(AT), reason="no test tables here")
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id for r in docs.select("doc_id").collect()}
+        stage(spark, docs, AT).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        after = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert after <= before and after
+        if name == "secret_scans":
+            assert after == before
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+    assert all(0 < r.taken <= 2 * r.size for r in docs.collect())

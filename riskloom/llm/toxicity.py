@@ -23,7 +23,7 @@ from . import kernel as K
 from .quality import fold
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 5_000
+SAMPLE = 4_000
 SLOTS = 1 << 18
 SIZES = (3, 4, 5, 6)
 DIMENSIONS = 8
@@ -74,13 +74,30 @@ class _Sample:
 
     def __init__(self, texts: list[str], y: np.ndarray):
         raw, offsets = K.string_bytes(pa.array(texts, pa.large_string()))
-        words, chosen, back = _distinct(raw, offsets)
         self.y, self.n = y, len(y)
-        self.slots, self.counts = bags(words, chosen)
+        hashes, slots, counts, doc, word, held = [], [], [], [], [], 0
+        for i, j in K.blocks(offsets):  # in blocks, so that the driver holds few numbers a byte
+            words, chosen, back = _distinct(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if not len(chosen):
+                continue
+            got, sizes = bags(words, chosen)
+            pairs = np.sort(words.owner() * len(chosen) + back)
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            hashes.append(words.hash[chosen])
+            slots.append(got.astype(np.int32))
+            counts.append(sizes)
+            doc.append(i + pairs // len(chosen))
+            word.append(held + pairs % len(chosen))
+            held += len(chosen)
+        none = [np.zeros(0, np.int64)]
+        # Words that several blocks hold become one.
+        _, first, same = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        counts = np.concatenate(counts or none)
+        begin = np.cumsum(counts) - counts
+        self.counts = counts[first]
+        self.slots = np.concatenate(slots or none)[K.ranges(begin[first], self.counts)]
         self.begin = np.cumsum(self.counts) - self.counts
-        pairs = np.sort(words.owner() * max(len(chosen), 1) + back)
-        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
-        self.doc, self.word = pairs // max(len(chosen), 1), pairs % max(len(chosen), 1)
+        self.doc, self.word = np.concatenate(doc or none), same[np.concatenate(word or none)]
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
 
     def odds(self, docs: np.ndarray, prior: float = 5.0) -> np.ndarray:

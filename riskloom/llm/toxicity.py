@@ -23,7 +23,7 @@ from . import kernel as K
 from .quality import fold
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 4_000
+SAMPLE = 3_000
 SLOTS = 1 << 18
 SIZES = (3, 4, 5, 6)
 DIMENSIONS = 8

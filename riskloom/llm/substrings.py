@@ -35,7 +35,7 @@ from .shared import keep
 WINDOW = 50
 PHRASE = 25
 #: Texts that one automaton serves, at most.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def picked(words: K.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:

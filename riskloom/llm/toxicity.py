@@ -210,8 +210,20 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sampl
     # Only ids that *docs* holds can be learnt from.
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
-    rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id", "y").toPandas()
-    return docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["y"].to_numpy()))
+    rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+    def learn(batches):
+        # One task of at most *sample* rows: the driver gets the finished model only.
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            y += batch.column("y").to_pylist()
+        weights, bias = fit(texts, np.array(y, float))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    got = rows.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "weights binary, bias double").first()
+    weights, bias = (np.frombuffer(got.weights, np.float32), got.bias) if got else fit([], np.zeros(0))
+    return docs.sparkSession.sparkContext.broadcast((weights, bias))
 
 
 def scores(df: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.3, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

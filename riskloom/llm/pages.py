@@ -8,9 +8,10 @@ class hold menus, headers, footers, side bars, notices, adverts, forms or
 comments are not main text.  Where a page marks its article, that is the slot
 taken, whole.
 
-References are compact (tags and text hashes), at most four a host, and travel
-by a join on the host whose large keys adaptive execution can split; no task
-ever holds the pages of a host.
+References are compact (tags and text hashes), at most four a host.  While those
+of all hosts fit a stated bound they go to the pages, which stay where they lie;
+beyond it both meet in a join on the host whose large keys adaptive execution
+can split.  No task ever holds the pages of a host, and results are the same.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
+
 REFERENCES = 4
+#: Bytes of all hosts' references up to which they are broadcast.
+SENT_BYTES = 32 << 20
 #: References that must agree before text counts as template.
 AGREE = 3
 #: A reference is cut to this many nodes after folding; longer ones still align from their top.
@@ -321,7 +326,7 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", references: int = REFERENCES) -> DataFrame:
+def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", references: int = REFERENCES, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of *df*.
 
     Null and empty pages, and pages without main text, have the empty text.
@@ -343,6 +348,9 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     sketched = pages.select("page_id", "host", "html").join(chosen, F.col("page_id") == F.col("chosen"), "left_semi").mapInArrow(sketch, "page_id bigint, host string, skeleton string")
     refs = sketched.filter("skeleton is not null").groupBy("host", kind.alias("kind")).agg(F.min("skeleton").alias("skeleton"))
     refs = refs.groupBy("host").agg(F.sort_array(F.collect_list("skeleton")).alias("refs")).select(F.col("host").alias("_host"), "refs")
+    refs = keep(refs, "pages-references")
+    size = refs.agg(F.sum(F.octet_length("_host") + F.octet_length(F.array_join("refs", "")))).first()[0] or 0
+    refs = F.broadcast(refs) if size <= sent_bytes else refs
 
     def run(batches):
         for batch in batches:

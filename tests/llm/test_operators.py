@@ -217,6 +217,14 @@ def test_pages_query(spark):
     assert got == {**{i: (f"text {i}", len(f"text {i}")) for i in range(12)}, 20: ("", 0), 21: ("", 0)}
 
 
+@pytest.mark.parametrize("sent_bytes", [pages.SENT_BYTES, 0])
+def test_pages_template(spark, sent_bytes):
+    """Without a marked article, what the pages of a host share goes, whichever way references travel."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div><div>Site name</div><div>{c} text {c}</div><div>All rights</div></div>") for i, c in enumerate("abcdefghijklmnopqrst")]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string"), sent_bytes=sent_bytes).collect()}
+    assert got == {i: f"{c} text {c}" for i, c in enumerate("abcdefghijklmnopqrst")}
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_classifiers_on_held_out_rows(spark, which):
     rng = random.Random(7)

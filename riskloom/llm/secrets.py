@@ -83,25 +83,28 @@ def _bits(n: int) -> Column:
     return F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(n + 1)])
 
 
-def entropy_spans(value: Column, window: int, alphabet: str, threshold: float) -> Column:
-    """array<struct<start, end>> of the joined windows of *value*, all of whose
-    characters are of *alphabet*, whose entropy reaches *threshold* bits.
+def entropy_spans(codes: Column, window: int, alphabet: str, threshold: float) -> Column:
+    """array<struct<start, end>> of the joined windows of a candidate, given as
+    the places of its characters in *alphabet* (from 1), whose entropy reaches
+    *threshold* bits.
 
     The state of the walk is a count for each letter of the alphabet and the
     sum of c * log2(c) over them; each step changes both by the character that
-    enters and the one that leaves.  Entropy = log2(window) - sum / window."""
-    bits, letters = _bits(window), F.lit(alphabet)
+    enters and the one that leaves.  Entropy = log2(window) - sum / window.
+    The walk meets both as it goes, so that its time grows with the length."""
+    bits = _bits(window)
     most = window * (math.log2(window) - threshold) + 1e-9
     first = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
+        F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
     )
+    # 0 leaves while the first window fills up; the zip ends with the candidate.
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.size(codes))
 
     def bit(n):
         return F.element_at(bits, n + 1)
 
-    def walk(acc, i):
-        enters = F.instr(letters, F.substring(value, i, F.lit(1)))
-        leaves = F.when(i > window, F.instr(letters, F.substring(value, i - window, F.lit(1)))).otherwise(F.lit(0))
+    def walk(acc, x):
+        i, enters, leaves = acc["at"] + 1, x["enters"], x["leaves"]
         same = enters == leaves
         more = F.element_at(acc["counts"], enters)
         less = F.when(leaves > 0, F.get(acc["counts"], leaves - 1)).otherwise(F.lit(0))
@@ -116,9 +119,14 @@ def entropy_spans(value: Column, window: int, alphabet: str, threshold: float) -
             F.concat(F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), i.alias("end")))),
         ).otherwise(F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), i.alias("end")))))
         spans = F.when((i >= window) & (total <= most), joined).otherwise(acc["spans"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), spans.alias("spans"))
+        return F.struct(i.alias("at"), counts.alias("counts"), total.alias("sum"), spans.alias("spans"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), first, walk)["spans"]
+    return F.aggregate(F.arrays_zip(codes.alias("enters"), leaving.alias("leaves")), first, walk)["spans"]
+
+
+def letter_codes(value: Column, alphabet: str) -> Column:
+    """The place in *alphabet*, from 1, of each character of *value*."""
+    return F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c))
 
 
 def _class_spans(candidates: Column, order: int, kind: str, such: str, alphabet: str, threshold: float, window: int) -> Column:
@@ -126,9 +134,12 @@ def _class_spans(candidates: Column, order: int, kind: str, such: str, alphabet:
         return F.struct((run["start"] + s["start"]).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (run["start"] + s["end"]).alias("end"))
 
     def of(run):
-        return F.transform(entropy_spans(run["value"], window, alphabet, threshold), lambda s: span(run, s))
+        return F.transform(entropy_spans(run["codes"], window, alphabet, threshold), lambda s: span(run, s))
 
-    return F.flatten(F.transform(F.filter(candidates, lambda run: run["value"].rlike(such)), of))
+    # The codes are made once for a candidate, before the walk that reads them twice.
+    such_runs = F.filter(candidates, lambda run: run["value"].rlike(such))
+    coded = F.transform(such_runs, lambda run: F.struct(run["start"].alias("start"), letter_codes(run["value"], alphabet).alias("codes")))
+    return F.flatten(F.transform(coded, of))
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans", window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
@@ -149,7 +160,8 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans", window: in
     )
     runs = pattern_spans(t, CANDIDATE % window, "run", 9, window)
     # A candidate is scanned only if it has a digit and nothing in the allow-list names it.
-    texts = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), F.substring(t, r["start"] + 1, r["end"] - r["start"]).alias("value")))
+    values = F.regexp_extract_all(t, F.lit(CANDIDATE % window), F.lit(0))
+    texts = F.transform(F.arrays_zip(runs["start"].alias("start"), values.alias("value")), lambda r: F.struct(r["start"].alias("start"), r["value"].alias("value")))
 
     def fit(r):
         good = r["value"].rlike("[0-9]")

@@ -81,7 +81,7 @@ def test_entropy_by_counting(spark):
     df = spark.createDataFrame([(value,)], "v string")
     from pyspark.sql import functions as F
 
-    got = df.select(secrets.entropy_spans(F.col("v"), 20, classes[2], classes[3])).first()[0]
+    got = df.select(secrets.entropy_spans(secrets.letter_codes(F.col("v"), classes[2]), 20, classes[2], classes[3])).first()[0]
     assert [[s.start, s.end] for s in got] == want and want
 
 

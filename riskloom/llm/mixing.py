@@ -83,9 +83,9 @@ def mix(df: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epoc
     whatever their names, are neither read nor returned.
     """
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
-    shuffled = F.xxhash64(F.lit(seed), "doc_id")
-    place = F.shiftrightunsigned(shuffled, 1)  # 0 to 2**63 - 1
-    rows = keep(rows.withColumn("place", place).withColumn("slot", F.floor(F.col("place") / 2.0**63 * SLICES).cast("int")), "mix-sizes")
+    # The first 60 bits of a hash that other engines have as well; it orders, and no more.
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+    rows = keep(rows.withColumn("place", place).withColumn("slot", F.floor(F.col("place") / 2.0**60 * SLICES).cast("int")), "mix-sizes")
     # Rows alike in everything are one entry, so that the order has no ties.
     alike = rows.groupBy("doc_id", "source", "size", "place", "slot").agg(F.count("*").alias("rows"))
     targets = source_targets(rows)

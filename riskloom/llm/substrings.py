@@ -165,13 +165,14 @@ def _rest(window: int):
                 for k in range(j - i):
                     n = int(words.counts[k])
                     cover = np.zeros(n + 1, np.int64)
-                    starts = lists[i + k].as_py() or []
+                    starts = np.asarray(lists[i + k].as_py() or [], np.int64)
+                    starts = starts[starts <= n - window]  # those of another text with this id may lie beyond
                     np.add.at(cover, starts, 1)
-                    np.add.at(cover, np.asarray(starts, np.int64) + window, -1)
+                    np.add.at(cover, starts + window, -1)
                     kept = np.cumsum(cover)[:n] == 0
-                    out.append((ids[i + k], int(n - kept.sum()), hashlib.sha256(_joined(words, k, kept)).hexdigest()))
-            columns = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.int64()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.string())], ["doc", "n_removed", "kept_sha256"])
+                    out.append((ids[i + k], _text_digest(words, k), int(n - kept.sum()), hashlib.sha256(_joined(words, k, kept)).hexdigest()))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["doc", "of", "n_removed", "kept_sha256"])
 
     return run
 
@@ -181,8 +182,11 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     one space) for every row.
 
     Null and empty texts have no words.  Rows that repeat an id and text give
-    the same result each; rows that share an id count as one document's windows
-    would, that is, none of them is removed for another's sake.  A null id is
+    the same result each.  An id is taken to name one text: rows that share an
+    id with different texts count as one document, so that none of its windows
+    is removed for another of its rows' sake, places removed from one go from
+    the others that reach there, and if one is a copy of an earlier document
+    the others are kept as they are.  They get a result each.  A null id is
     smaller than any other.  Other columns, whatever their names, are neither
     read nor returned.
     """
@@ -207,9 +211,9 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     first = keep(first, "substrings-first")
     gone = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_set("start").alias("starts"))
     texts = shards.select("doc_id", "text")
-    left = texts.join(gone, texts.doc_id == gone.doc).select("doc_id", "text", "starts").mapInArrow(_rest(window), "doc bigint, n_removed bigint, kept_sha256 string")
+    left = texts.join(gone, texts.doc_id == gone.doc).select("doc_id", "text", "starts").mapInArrow(_rest(window), "doc bigint, of binary, n_removed bigint, kept_sha256 string")
     empty = hashlib.sha256(b"").hexdigest()
-    out = base.join(left.distinct(), base.doc_id == left.doc, "left").join(followers.withColumnRenamed("doc_id", "follower"), (F.col("doc_id") == F.col("follower")) & (F.col("digest") == F.col("gone")), "left")
+    out = base.join(left.distinct(), (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("of")), "left").join(followers.withColumnRenamed("doc_id", "follower"), (F.col("doc_id") == F.col("follower")) & (F.col("digest") == F.col("gone")), "left")
     follows = F.col("follower").isNotNull()
     return out.select(
         F.when(F.col("doc_id") == -(2**63), None).otherwise(F.col("doc_id")).alias("doc_id"),

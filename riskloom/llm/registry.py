@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 from . import decontaminate, media, mixing, pages, quality, secrets, similarity, substrings, tokens, toxicity
+from .oracles import ORACLES
 from .shared import table
 
 
@@ -67,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -37,9 +37,17 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = free_name("_mixed_id", docs.columns)
-    took = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken").distinct()
-    return docs.join(took, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
+    """Rows are told apart by id, source and size, as in the mix.  Columns of
+    *docs* keep their names; a new one of the same name gets underscores."""
+    mine = {"doc_id": F.col("doc_id").cast("bigint"), "source": F.col("source").cast("string"), "size": mixing.word_count()}
+    names = {c: free_name(f"_mixed_{c}", docs.columns) for c in mine}
+    results = {c: free_name(c, docs.columns) for c in ("size", "source_size", "target", "taken")}
+    took = mixing.mix(docs).filter("taken > 0").distinct()
+    took = took.select(*[F.col(c).alias(n) for c, n in names.items()], *[F.col(c).alias(n) for c, n in results.items()])
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & mine[c].eqNullSafe(F.col(n))
+    return docs.join(took, same).drop(*names.values())
 
 
 STAGES = [

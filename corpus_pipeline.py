@@ -17,6 +17,10 @@ from riskloom.llm import decontaminate, mixing, secrets, similarity, toxicity
 from riskloom.llm.shared import free_name, keep, table
 from riskloom.session import ship
 
+#: Near copies, for the stage: similarity of word 5-grams, in hundredths.  (The
+#: operator's own defaults are the contract of its query.)
+SHINGLE, PERCENT = 5, 80
+
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(ship(spark), sf_dir, "labels"))
@@ -24,7 +28,7 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return similarity.one_of_each(docs)
+    return similarity.one_of_each(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,23 @@ def test_stages(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
     assert all(0 < r.taken <= 2 * r.size for r in docs.collect())
+
+
+def test_near_copies_by_five_words(spark):
+    words = [f"w{i}" for i in range(420)]
+    new = [f"n{i}" for i in range(420)]
+    scattered = [n if i % 46 == 23 else w for i, (w, n) in enumerate(zip(words, new))]
+    rows = [
+        (1, words[:100]), (2, words[:100] + new[:20]),  # 96 of 116 shared: 0.83
+        (3, words[100:200]), (4, words[100:150] + new[20:36] + words[150:200]),  # 92 of 116: 0.79
+        (5, [f"v{w}" for w in words]), (6, [f"v{w}" for w in scattered]),  # 9 scattered edits: 0.80
+    ]
+
+    def similarity(a, b, n):
+        a, b = ({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    got = [similarity(rows[i][1], rows[i + 1][1], 5) for i in (0, 2, 4)]
+    assert 0.8 <= got[0] < 0.85 and got[1] < 0.8 <= got[2] < 0.85 and all(similarity(rows[i][1], rows[i + 1][1], 4) < 0.85 for i in (0, 2, 4))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, df, AT).collect()) == [1, 3, 4, 5]

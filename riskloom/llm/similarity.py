@@ -325,7 +325,19 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of *df* without those that have a smaller one in their component."""
-    gone = free_name("_gone_id", df.columns)
-    out = similar_components(df, doc_id=doc_id, text=text, **how).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    return df.join(out, df[doc_id].cast("bigint") == F.col(gone), "left_anti")
+    """One row of *df* for each component: the one with the smallest id, where a
+    null id is smaller than any other.  Rows that share an id are told apart by
+    their texts, so that each stays or goes by its own; among equal ones any one
+    stays.  Texts without words link with nothing and all stay."""
+    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID))
+    if not df.groupBy(key.alias("key")).count().filter("count > 1").limit(1).count():
+        gone = free_name("_gone_id", df.columns)
+        out = similar_components(df, doc_id=doc_id, text=text, **how).fillna(NULL_ID, ["doc_id", "component_id"])
+        out = out.filter("component_id < doc_id").select(F.col("doc_id").alias(gone))
+        return df.join(out, key == F.col(gone), "left_anti")
+    # Ids that repeat don't name a row; written, so that each row keeps its number.
+    row = free_name("_row", df.columns)
+    rows = keep(df.withColumn(row, F.monotonically_increasing_id()), "similarity-rows")
+    parts = similar_components(rows, doc_id=row, text=text, **how).join(rows.select(F.col(row).alias("doc_id"), key.alias("key")), "doc_id")
+    stays = parts.groupBy("component_id").agg(F.min(F.struct("key", "doc_id"))["doc_id"].alias("stays"))
+    return rows.join(stays, F.col(row) == F.col("stays"), "left_semi").drop(row)

@@ -79,3 +79,20 @@ def test_substrings_of_texts_that_share_an_id(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(90)) for c in "ab")
     got = substrings.removed_words(spark.createDataFrame([(1, a), (9, b + " " + a), (9, "short")], "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 90, 0), (9, 1, 0), (9, 180, 90)]
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+
+    def kept(rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, _row string").repartition(3)
+        out = similarity.one_of_each(df)
+        assert out.columns == df.columns
+        return Counter((r.doc_id, r.text) for r in out.collect())
+
+    # One null id in a group of copies: it counts as the smallest.
+    assert kept([(None, a, "x"), (1, a + " end", "x"), (2, a, "x"), (3, b, "x")]) == Counter([(None, a), (3, b)])
+    # Exact repeats, two null ids, and an id that names a copy and a text of its own.
+    rows = [(7, a, "x"), (7, a, "x"), (None, b, "x"), (None, b + " end", "x"), (8, b, "x"), (8, c, "x"), (9, None, "x"), (9, "", "x")]
+    got = kept(rows)
+    assert sum(got.values()) == 5 and got[7, a] == got[8, c] == got[9, None] == got[9, ""] == 1 and got[None, b] + got[None, b + " end"] == 1

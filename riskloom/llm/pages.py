@@ -33,8 +33,6 @@ REFERENCES = 4
 SENT_BYTES = 32 << 20
 #: References that must agree before text counts as template.
 AGREE = 3
-#: A reference is cut to this many nodes after folding; longer ones still align from their top.
-NODES = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -210,79 +208,158 @@ _BORDER = _Border("hr")
 _BORDER.texts = []
 
 
-def folded(node: Node, budget: list[int]) -> list:
-    """[tag, text hashes, children] of a tree: neighbouring children with the
-    same tags below are one, with the texts of all."""
-    budget[0] -= 1
-    children: list = []
-    if node.tag not in ("p", "pre") and budget[0] > 0:
-        for child in node.children:
-            if isinstance(child, str) or isinstance(child, _Border) or child.tag in VOID:
-                continue
-            sub = folded(child, budget)
+def skeleton(root: Node) -> list:
+    """The whole tree below *root* as [tag, parent's place, text hashes] in page
+    order, where neighbouring children with the same tags below are one, with
+    the texts of all.  Without recursion: pages may nest without end."""
+    shapes: dict = {}
+    done: dict[int, list] = {}  # element: [tag, texts, children, shape]
+    stack = [(root, False)]
+    while stack:
+        node, left = stack.pop()
+        below = [c for c in node.children if not (isinstance(c, (str, _Border)) or c.tag in VOID)]
+        if not left:
+            stack.append((node, True))
+            stack.extend((c, False) for c in below)
+            continue
+        children: list = []
+        for child in below:
+            sub = done.pop(id(child))
             if not sub[1] and not sub[2] and child.tag not in BLOCK:
                 continue
-            if children and _shape(children[-1]) == _shape(sub):
+            if children and children[-1][3] == sub[3]:
                 _absorb(children[-1], sub)
             else:
                 children.append(sub)
-            if budget[0] <= 0:
-                break
-    return [node.tag, list(getattr(node, "texts", ())), children]
-
-
-def _shape(sub: list) -> tuple:
-    return (sub[0], tuple(_shape(c) for c in sub[2])) if len(sub[2]) < 8 else (sub[0], len(sub[2]))
+        shape = shapes.setdefault((node.tag, *(c[3] for c in children)), len(shapes))
+        done[id(node)] = [node.tag, list(getattr(node, "texts", ())), children, shape]
+    out: list = []
+    flat = [(done[id(root)], -1)]
+    while flat:
+        (tag, texts, children, _), parent = flat.pop()
+        flat.extend((c, len(out)) for c in reversed(children))
+        out.append([tag, parent, texts])
+    return out
 
 
 def _absorb(into: list, sub: list) -> None:
-    into[1].extend(sub[1])
-    for a, b in zip(into[2], sub[2]):
-        _absorb(a, b)
-
-
-def skeleton(root: Node) -> list:
-    return folded(root, [NODES])
-
-
-def _match(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: the size of the largest matching of two ordered
-    trees that keeps parents and order."""
-    if a[0] != b[0]:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        m = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
-        for i, x in enumerate(a[2], 1):
-            for j, y in enumerate(b[2], 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + _match(x, y, memo))
-        memo[key] = m
-    return memo[key][-1][-1] + 1
-
-
-def constants(page: list, reference: list) -> set[int]:
-    """Hashes of texts that stand at matched nodes of both trees."""
-    memo: dict = {}
-    if not _match(page, reference, memo):
-        return set()
-    found, pairs = set(), [(page, reference)]
+    pairs = [(into, sub)]
     while pairs:
         a, b = pairs.pop()
-        found |= set(a[1]) & set(b[1])
-        m, i, j = memo[id(a), id(b)], len(a[2]), len(b[2])
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
+        a[1].extend(b[1])
+        pairs.extend(zip(a[2], b[2]))
+
+
+class Tree:
+    """A skeleton with its children, subtree sizes and shapes by node.  Trees to
+    be compared number their shapes in one dictionary."""
+
+    def __init__(self, rows: list, shapes: dict):
+        self.tags = [r[0] for r in rows]
+        self.texts = [r[2] for r in rows]
+        self.below: list = [[] for _ in rows]
+        for i, r in enumerate(rows[1:], 1):
+            self.below[r[1]].append(i)
+        self.size, self.shape = [1] * len(rows), [0] * len(rows)
+        for i in range(len(rows) - 1, -1, -1):
+            self.size[i] += sum(self.size[c] for c in self.below[i])
+            self.shape[i] = shapes.setdefault((self.tags[i], *(self.shape[c] for c in self.below[i])), len(shapes))
+
+
+class Matching:
+    """Simple tree matching: the largest matching of two ordered trees that
+    keeps parents and order.  Its size depends on shapes only, so each pair of
+    shapes is met once."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.known = a, b, {}
+        self.total = self.size(0, 0)
+
+    def size(self, x: int, y: int) -> int:
+        a, b, known = self.a, self.b, self.known
+        stack = [(x, y)]
+        while stack:
+            i, j = stack[-1]
+            key = (a.shape[i], b.shape[j])
+            if key in known:
+                stack.pop()
+            elif key[0] == key[1] or a.tags[i] != b.tags[j]:
+                known[key] = a.size[i] if key[0] == key[1] else 0
             else:
-                i, j = i - 1, j - 1
-                pairs.append((a[2][i], b[2][j]))
-    return found
-
-
-def main_text(root: Node, found: list[tuple[Node, str]], template: set[int]) -> str:
-    """The blocks of the marked article or, without one, those outside the template."""
+                left, right = self.differing(i, j)[1:]
+                firsts, others = {a.shape[c]: c for c in left}, {b.shape[c]: c for c in right}
+                missing = [(c, d) for s, c in firsts.items() for t, d in others.items() if (s, t) not in known]
+                if missing:
+                    stack.extend(missing)
+                else:
+                    same = sum(a.size[c] for c in a.below[i]) - sum(a.size[c] for c in left)
+                    known[key] = 1 + same + int(self.forward(left, right)[-1])
+        return known[a.shape[x], b.shape[y]]
+
+    def differing(self, i: int, j: int):
+        """The children that both begin and end with, as pairs, and the others
+        between.  Equal first children are in some largest matching, as are equal last."""
+        left, right = self.a.below[i], self.b.below[j]
+        low, n = 0, min(len(left), len(right))
+        while low < n and self.a.shape[left[low]] == self.b.shape[right[low]]:
+            low += 1
+        high = 0
+        while high < n - low and self.a.shape[left[-1 - high]] == self.b.shape[right[-1 - high]]:
+            high += 1
+        pairs = list(zip(left[:low], right[:low])) + list(zip(left[len(left) - high :], right[len(right) - high :]))
+        return pairs, left[low : len(left) - high], right[low : len(right) - high]
+
+    def forward(self, left: list, right: list) -> np.ndarray:
+        """Sizes of the largest matchings of all of *left* with each beginning of *right*."""
+        best, rows = np.zeros(len(right) + 1, np.int64), {}
+        for c in left:
+            s = self.a.shape[c]
+            if s not in rows:
+                rows[s] = np.array([self.known[s, self.b.shape[d]] for d in right], np.int64)
+            new = best.copy()
+            np.maximum(new[1:], best[:-1] + rows[s], out=new[1:])
+            best = np.maximum.accumulate(new)
+        return best
+
+    def pairs_of(self, left: list, right: list):
+        """The pairs of a largest matching of two lists of children, by halves,
+        so that memory grows with their length and not its square."""
+        stack = [(left, right)]
+        while stack:
+            left, right = stack.pop()
+            if not left or not right:
+                continue
+            if len(left) == 1:
+                sizes = [self.known[self.a.shape[left[0]], self.b.shape[d]] for d in right]
+                k = int(np.argmax(sizes))
+                if sizes[k]:
+                    yield left[0], right[k]
+                continue
+            half = len(left) // 2
+            ahead = self.forward(left[:half], right)
+            behind = self.forward(left[:half - 1 : -1], right[::-1])[::-1]
+            cut = int(np.argmax(ahead + behind))
+            stack += [(left[:half], right[:cut]), (left[half:], right[cut:])]
+
+    def constants(self) -> set[int]:
+        """Hashes of texts that stand at matched nodes of both trees."""
+        found: set[int] = set()
+        pairs = [(0, 0)] if self.total else []
+        while pairs:
+            i, j = pairs.pop()
+            found.update(set(self.a.texts[i]).intersection(self.b.texts[j]))
+            same, left, right = self.differing(i, j)
+            if left and right:
+                for c in {self.a.shape[c]: c for c in left}.values():
+                    for d in {self.b.shape[d]: d for d in right}.values():
+                        self.size(c, d)
+            pairs += same
+            pairs.extend(self.pairs_of(left, right))
+        return found
+
+
+def _outside_aside(root: Node, found: list[tuple[Node, str]]) -> list[tuple[bool, str]]:
+    """Whether the article is marked around it, and the text, of each block not beside the main text."""
     inside: dict[int, tuple[bool, bool]] = {id(root): (False, False)}
     stack = [root]
     while stack:
@@ -294,13 +371,7 @@ def main_text(root: Node, found: list[tuple[Node, str]], template: set[int]) ->
                 beside = child.aside and not (main and child.tag == "header")
                 inside[id(child)] = (aside or beside, main or (child.main and not aside))
                 stack.append(child)
-    good = [(inside[id(n)][1], t) for n, t in found if not inside[id(n)][0]]
-    if any(main for main, _ in good):
-        # A marked article is taken whole: copies of an article at one host don't make it template.
-        good = [x for x in good if x[0]]
-    else:
-        good = [x for x in good if zlib.crc32(x[1].encode("utf-8", "surrogatepass")) not in template]
-    return "\n".join(t for _, t in good)
+    return [(inside[id(n)][1], t) for n, t in found if not inside[id(n)][0]]
 
 
 def extract(source: str | None, references: list[str] | None) -> str:
@@ -309,16 +380,22 @@ def extract(source: str | None, references: list[str] | None) -> str:
         return ""
     root = parse(source)
     found = blocks(root)
+    good = _outside_aside(root, found)
+    if any(main for main, _ in good):
+        # A marked article is taken whole: copies of an article at one host don't make it template.
+        return "\n".join(t for main, t in good if main)
     template: set[int] = set()
-    if references:
+    if references and good:
         own = skeleton(root)
         others = [r for r in (json.loads(x) for x in references) if r != own]
         # References that are copies of each other count once.
         distinct = list({json.dumps(r): r for r in others}.values())
         if len(distinct) >= AGREE:
-            shared = [constants(own, r) for r in distinct]
+            shapes: dict = {}
+            tree = Tree(own, shapes)
+            shared = [Matching(tree, Tree(r, shapes)).constants() for r in distinct]
             template = set.intersection(*shared)
-    return main_text(root, found, template)
+    return "\n".join(t for _, t in good if zlib.crc32(t.encode("utf-8", "surrogatepass")) not in template)
 
 
 def host_of(url):

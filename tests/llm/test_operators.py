@@ -225,6 +225,49 @@ def test_pages_template(spark, sent_bytes):
     assert got == {i: f"{c} text {c}" for i, c in enumerate("abcdefghijklmnopqrst")}
 
 
+@pytest.mark.parametrize("body", [
+    lambda c: "".join(f"<div>{c} post {i}</div>" for i in range(900)),  # folds to one
+    lambda c: "".join(f"<div>{c} post {i}</div><ul><li>{c} item {i}</ul>" for i in range(450)),  # doesn't fold
+    lambda c: "<div>" * 3000 + f"{c} deep" + "</div>" * 3000,
+])
+def test_pages_template_of_long_pages(body):
+    """Template behind more elements than any fixed count is aligned, too."""
+    wrapped = [f"<body><div><div>Site name</div><section>{body(c)}</section><table><tr><td>All rights</table></div>" for c in "abcde"]
+    refs = [pages.json.dumps(pages._sketched(w)) for w in wrapped[1:]]
+    got = pages.extract(wrapped[0], refs).split("\n")
+    assert got == [t for _, t in pages.blocks(pages.parse(f"<body>{body('a')}"))]
+
+
+def test_tree_matching_by_brute_force():
+    rng = random.Random(3)
+
+    def tree(depth):
+        return f"<{(t := rng.choice(['div', 'ul', 'section']))}>x" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{t}>"
+
+    for _ in range(150):
+        shapes: dict = {}
+        a, b = (pages.Tree(pages._sketched(tree(3)), shapes) for _ in range(2))
+        for t in (a, b):  # a text of its own for each node, so that found texts are the matched pairs
+            t.texts = [[i] for i in range(len(t.tags))]
+        memo: dict = {}
+
+        def most(i, j):
+            if a.tags[i] != b.tags[j]:
+                return 0
+            if (i, j) not in memo:
+                x, y = a.below[i], b.below[j]
+                m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+                for p, q in itertools.product(range(len(x)), range(len(y))):
+                    m[p + 1][q + 1] = max(m[p][q + 1], m[p + 1][q], m[p][q] + most(x[p], y[q]))
+                memo[i, j] = m[-1][-1] + 1
+            return memo[i, j]
+
+        matching = pages.Matching(a, b)
+        assert matching.total == most(0, 0)
+        b.texts = [list(range(len(a.tags))) for _ in b.tags]
+        assert len(matching.constants()) == matching.total
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_classifiers_on_held_out_rows(spark, which):
     rng = random.Random(7)

@@ -2,13 +2,14 @@
 
 Pages of one host share a template.  Each page's DOM tree is aligned with a few
 reference pages of its host by simple tree matching (Yang, 1991).  Text that
-stands at the same node in the page and in all references is template; slots
-that vary are content.  Within the slots, elements that by their name, role or
+stands at the same node in the page and in enough references, of those that are
+laid out like the page or of all, is template; slots that vary are content.  Within the slots, elements that by their name, role or
 class hold menus, headers, footers, side bars, notices, adverts, forms or
 comments are not main text.  Where a page marks its article, that is the slot
 taken, whole.
 
-References are compact (tags and text hashes), at most four a host.  While those
+References are compact (tags and text hashes) and differ from each other: a few
+of each layout, layouts of many pages first, at most sixteen a host.  While those
 of all hosts fit a stated bound they go to the pages, which stay where they lie;
 beyond it both meet in a join on the host whose large keys adaptive execution
 can split.  No task ever holds the pages of a host, and results are the same.
@@ -16,23 +17,30 @@ can split.  No task ever holds the pages of a host, and results are the same.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import keep
 
+#: References of a layout, besides the page itself if it is one, and of a host.
 REFERENCES = 4
+MOST = 16
 #: Bytes of all hosts' references up to which they are broadcast.
 SENT_BYTES = 32 << 20
-#: References that must agree before text counts as template.
+#: References that must agree before text counts as template, and their share.
 AGREE = 3
+SHARE = 0.5
+#: Share of both trees' nodes that match where two pages are laid out alike.
+ALIKE = 0.7
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -374,6 +382,16 @@ def _outside_aside(root: Node, found: list[tuple[Node, str]]) -> list[tuple[bool
     return [(inside[id(n)][1], t) for n, t in found if not inside[id(n)][0]]
 
 
+def agreed(shared: list[tuple[float, set[int]]]) -> set[int]:
+    """The texts that stand in enough references, of those like the page or of
+    all; given as (likeness, texts shared with the page)."""
+    template: set[int] = set()
+    for group in ([t for like, t in shared if like >= ALIKE], [t for _, t in shared]):
+        counts = Counter(h for texts in group for h in texts)
+        template.update(h for h, n in counts.items() if n >= max(AGREE, SHARE * len(group)))
+    return template
+
+
 def extract(source: str | None, references: list[str] | None) -> str:
     """The main text of a page, given the skeletons of its host's references."""
     if not source:
@@ -393,8 +411,8 @@ def extract(source: str | None, references: list[str] | None) -> str:
         if len(distinct) >= AGREE:
             shapes: dict = {}
             tree = Tree(own, shapes)
-            shared = [Matching(tree, Tree(r, shapes)).constants() for r in distinct]
-            template = set.intersection(*shared)
+            matchings = [Matching(tree, Tree(r, shapes)) for r in distinct]
+            template = agreed([(2 * m.total / (len(m.a.tags) + len(m.b.tags)), m.constants()) for m in matchings])
     return "\n".join(t for _, t in good if zlib.crc32(t.encode("utf-8", "surrogatepass")) not in template)
 
 
@@ -403,28 +421,40 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", references: int = REFERENCES, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", references: int = REFERENCES, most: int = MOST, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of *df*.
 
     Null and empty pages, and pages without main text, have the empty text.
-    Pages without a host, or of a host with too few different pages, are
-    extracted without a template.  Repeated rows give repeated results.  Other
+    Pages without a host, or of a host with fewer than three pages that differ
+    from it and from each other, are extracted without a template.  Repeated rows give repeated results.  Other
     columns, whatever their names, are neither read nor returned.
     """
     pages = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
 
+    def survey(batches):
+        for batch in batches:
+            keys = [_keys(_sketched(h)) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], ["page_id", "host", "layout", "key"])
+
     def sketch(batches):
         for batch in batches:
-            out = [json.dumps(_sketched(h), separators=(",", ":")) if h else None for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "host", "skeleton"])
-
-    # The references of a host: from each of a few classes of its pages, the one with the smallest id.
-    kind = F.pmod(F.xxhash64("page_id"), F.lit(references))
-    chosen = pages.filter("host <> '' and html is not null and page_id is not null").withColumn("kind", kind)
-    chosen = chosen.groupBy("host", "kind").agg(F.min("page_id").alias("chosen")).select(F.col("chosen"))
-    sketched = pages.select("page_id", "host", "html").join(chosen, F.col("page_id") == F.col("chosen"), "left_semi").mapInArrow(sketch, "page_id bigint, host string, skeleton string")
-    refs = sketched.filter("skeleton is not null").groupBy("host", kind.alias("kind")).agg(F.min("skeleton").alias("skeleton"))
-    refs = refs.groupBy("host").agg(F.sort_array(F.collect_list("skeleton")).alias("refs")).select(F.col("host").alias("_host"), "refs")
+            trees = [_sketched(h) for h in batch.column(2).to_pylist()]
+            same = [_keys(t)[1] == k for t, k in zip(trees, batch.column(3).to_pylist())]  # ids may repeat
+            out = [json.dumps(t, separators=(",", ":")) if s else None for t, s in zip(trees, same)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], ["host", "skeleton"])
+
+    # The references of a host: pages that differ, by rank within their layout, the layouts of most pages first.
+    usable = pages.filter("host <> '' and html <> '' and page_id is not null").select("page_id", "host", "html")
+    differing = usable.mapInArrow(survey, "page_id bigint, host string, layout bigint, key bigint").groupBy("host", "layout", "key").agg(F.min("page_id").alias("page_id"))
+    differing = keep(differing, "pages-skeletons")
+    held = differing.groupBy("host", "layout").agg(F.count("*").alias("held"))
+    first = differing.withColumn("place", F.row_number().over(Window.partitionBy("host", "layout").orderBy("page_id", "key"))).filter(F.col("place") <= references + 1)
+    order = Window.partitionBy("host").orderBy(F.desc("held"), "layout", "place")
+    first = first.join(held, ["host", "layout"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    # Written, so that the join knows how small it is.
+    chosen = keep(first.select("page_id", "host", "key"), "pages-chosen")
+    refs = usable.join(chosen, ["page_id", "host"]).select("page_id", "host", "html", "key").mapInArrow(sketch, "host string, skeleton string").filter("skeleton is not null")
+    refs = refs.groupBy("host").agg(F.sort_array(F.collect_set("skeleton")).alias("refs")).select(F.col("host").alias("_host"), "refs")
     refs = keep(refs, "pages-references")
     size = refs.agg(F.sum(F.octet_length("_host") + F.octet_length(F.array_join("refs", "")))).first()[0] or 0
     refs = F.broadcast(refs) if size <= sent_bytes else refs
@@ -439,6 +469,11 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
+def _keys(rows: list) -> tuple[int, int]:
+    """Hashes of a skeleton's layout and of all of it."""
+    return tuple(int.from_bytes(hashlib.blake2b(json.dumps(x).encode(), digest_size=8).digest(), "little", signed=True) for x in ([r[:2] for r in rows], rows))
+
+
 def _sketched(source: str) -> list:
     root = parse(source)
     blocks(root)

@@ -238,6 +238,23 @@ def test_pages_template_of_long_pages(body):
     assert got == [t for _, t in pages.blocks(pages.parse(f"<body>{body('a')}"))]
 
 
+@pytest.mark.parametrize("hosts", [
+    [list("abcd")] * 12,  # of 4 pages, whatever their ids
+    [list("abcd") + list("aabbcddd")] * 6,  # with copies of all
+    [list("abcde") + [f"L{c}" for c in "abcd"]] * 6,  # of two layouts
+])
+def test_pages_template_of_small_hosts(spark, hosts):
+    def page(c):
+        if c[0] == "L":
+            return f"<body><section><ul><li>Home</ul><table><tr><td>{c} row</table><h2>Listing</h2><h3>{c} more</h3><pre>Back to top</pre></section>"
+        return f"<body><div><div>Site name</div><div>{c} text {c}</div><div>All rights</div></div>"
+
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(c)) for h, cs in enumerate(hosts) for i, c in enumerate(cs)]
+    want = {100 * h + i: f"{c} row\n{c} more" if c[0] == "L" else f"{c} text {c}" for h, cs in enumerate(hosts) for i, c in enumerate(cs)}
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_tree_matching_by_brute_force():
     rng = random.Random(3)
 

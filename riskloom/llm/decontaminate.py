@@ -24,7 +24,7 @@ from . import kernel as K
 Q = 8
 #: Share of an item's length that edits may make up.
 EDITS = 0.1
-#: Normalised items shorter than this say too little to be searched.
+#: Normalised items shorter than this are searched without edits, as whole words.
 LEAST = 24
 #: Bytes of item text that one pass holds; more items are searched in further passes.
 PASS_BYTES = 16 << 20
@@ -64,15 +64,19 @@ class Items:
     """A searchable set of items: (id, text) rows."""
 
     def __init__(self, rows, edits: float = EDITS):
-        found = []
+        found, short = [], []
         for key, text in rows:
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
             folded = normalise(raw, np.array([0, len(raw)]))[0]
             if len(folded) and folded[-1] == 32:
                 folded = folded[:-1]
-            if key is not None and len(folded) >= LEAST:
-                found.append((key, folded))
-        self.ids = np.array([k for k, _ in found], np.int64)
+            if key is not None and len(folded):
+                (found if len(folded) >= LEAST else short).append((key, folded))
+        self.ids = np.array([k for k, _ in found + short], np.int64)
+        #: By length, the short texts and the items of each.
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for k, (_, t) in enumerate(short, len(found)):
+            self.short.setdefault(len(t), {}).setdefault(t.tobytes(), []).append(k)
         self.texts = [t for _, t in found]
         size = np.array([len(t) for t in self.texts], np.int64)
         self.size = size
@@ -110,11 +114,15 @@ class Items:
         if not len(self.ids) or not len(raw):
             return
         folded, bounds, place = normalise(raw, offsets)
+        if self.short:
+            yield from self.exact(folded, bounds, place)
+        if not self.texts:
+            return
         starts, value = grams(folded, bounds)
         at, item, within = self.hits(value)
         where = starts[at]
         text = np.searchsorted(bounds, where, "right") - 1
-        n = len(self.ids)
+        n = len(self.texts)
         # A text that shares too few q-grams with an item over all its length is out at once.
         pair = text * n + item
         if (len(bounds) - 1) * n <= 4 * K.BLOCK_BYTES:
@@ -148,6 +156,30 @@ class Items:
             yield from self.verify(folded, bounds, place, t, k, low, high)
             i = j
 
+    def exact(self, folded, bounds, place):
+        """The occurrences of short items, from one word border to another."""
+        if not len(folded):
+            return
+        begins = np.append(True, folded[:-1] == 32) & (folded != 32)
+        begins[bounds[:-1][bounds[:-1] < len(folded)]] = True
+        begins = np.flatnonzero(begins)
+        text = np.searchsorted(bounds, begins, "right") - 1
+        stop = bounds[text + 1]
+        for size, known in self.short.items():
+            end = begins + size
+            good = (end == stop) | (end < stop) & (folded[np.minimum(end, len(folded) - 1)] == 32)
+            at, owner = begins[good], text[good]
+            if not len(at):
+                continue
+            parts = np.ascontiguousarray(folded[at[:, None] + np.arange(size)]).view(f"S{size}")[:, 0]
+            last: dict[bytes, tuple[int, int]] = {}  # where the last one of a text ended
+            for i in np.flatnonzero(np.isin(parts, np.array(list(known), f"S{size}"))):
+                t, a, key = int(owner[i]), int(at[i]), bytes(parts[i])
+                if last.get(key, (-1, 0)) <= (t, a):
+                    last[key] = (t, a + size)
+                    for k in known[key]:
+                        yield t, k, int(place[a]), int(place[a + size - 1]) + 1, 0
+
     def verify(self, folded, bounds, place, t, k, low, high):
         """The occurrences of item k in text t on the diagonals from low to high."""
         most, lo, hi = int(self.edits[k]), int(bounds[t]), int(bounds[t + 1])
@@ -193,12 +225,13 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str):
-    """The items in groups of bounded size, so that one fits a broadcast."""
-    rows = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).filter("item_id is not null and text is not null")
+    """The items in groups of bounded size, so that one fits a broadcast; without
+    *item_id*, their texts alone."""
+    rows = benchmark.select((F.col(item_id).cast("bigint") if item_id else F.lit(0).cast("bigint")).alias("item_id"), F.col(text).cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // PASS_BYTES))
     for i in range(n):
-        yield rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).distinct().orderBy("item_id", "text").collect()
+        yield rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().orderBy("item_id", "text").collect()
 
 
 def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -206,7 +239,8 @@ def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_i
     edits, for every place in *df* where an item occurs with at most *edits*
     times its length of edits, counted on normalised bytes.
 
-    Null and empty texts and items, and items under 24 normalised bytes, have no
+    Items under 24 normalised bytes are searched as whole words, without edits.
+    Null and empty texts and items, and items with a null id, have no
     occurrences; repeated rows give repeated results; empty tables give none;
     other columns, whatever their names, are neither read nor returned.  Only
     the items are sent around, in passes of bounded size; documents are read
@@ -238,11 +272,11 @@ def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_i
     return out
 
 
-def remove(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of *df*, with all columns, whose texts hold no occurrence of a
-    benchmark item; a filter where the rows lie, in as many passes as the items take."""
+    benchmark item, whatever its id; a filter where the rows lie, in as many passes as the items take."""
     place, schema = df.columns.index(text), df.schema
-    for rows in _passes(benchmark, item_id, item_text):
+    for rows in _passes(benchmark, None, item_text):
         sent = df.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
 
         def run(batches, sent=sent):

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -202,6 +202,17 @@ def test_decontamination(spark):
     assert decontaminate.occurrences(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_short_items_and_null_ids(spark):
+    texts = ["Say: OPEN, sesame!", "open sesames", "reopen sesame", "é open sesame", "open\nsesame open  sesame", "", None, "sesame", "x open-sesame-é", "cut open", "the null item has a text of its own", "4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "Open sesame."), (2, "open sesame"), (3, "4"), (4, "?"), (None, "The null item has a text of its own.")], "item_id bigint, text string")
+    found = decontaminate.occurrences(df, bench).collect()
+    want = Counter({(d, i, 0): n for i in (1, 2) for d, n in ((0, 1), (3, 1), (4, 2), (8, 1))}) + Counter({(11, 3, 0): 1})
+    assert Counter((r.doc_id, r.item_id, r.edits) for r in found) == want
+    assert all(re.sub(r"\W+", " ", texts[r.doc_id][r.start : r.end]).lower() in ("open sesame", "4") for r in found)
+    assert sorted(r.doc_id for r in decontaminate.remove(df, bench).collect()) == [1, 2, 5, 6, 7, 9]
+
+
 def test_pages():
     page = "<!DOCTYPE html><title>t</title><nav><a>M</a></nav><div class='ad'>buy</div><header>H</header><article><h1>T &amp; é</h1><p>one <b>two\n three<p>four<ul><li>a<li>b</ul><script>if(a<b){'</p>'}</script></article><div id=comments><p>c</p></div><footer>f"
     assert pages.extract(page, None) == "T & é\none two three\nfour\na\nb"

@@ -172,10 +172,11 @@ def audio_column(df: DataFrame, text: str = "text", to_rate: int = 16000, keep_p
 
 
 def audio_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", to_rate: int = 16000) -> DataFrame:
-    """The digest columns of the stored audio of every text.  An empty table
+    """The digest columns of the stored audio of every text, and of the 16-bit
+    PCM WAV of its resampled sound.  An empty table
     gives an empty result; other columns of *df*, whatever their names, are
     neither read nor returned."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -186,9 +187,10 @@ def audio_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", to_
                 media = store(to_payload(raw))
                 codec, rate, back = unwav(media)
                 sound = resample(decode(codec, back), rate, to_rate)
-                rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f"{codec};{features(sound, to_rate)}"))
+                pcm = wav(sound.tobytes(), "pcm", to_rate)
+                rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f"{codec};{features(sound, to_rate)}", len(pcm), hashlib.sha256(pcm).hexdigest()))
             columns = zip(*rows) if rows else [[] for _ in names]
-            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
+            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature", "pcm_sha256") else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

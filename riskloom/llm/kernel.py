@@ -5,7 +5,10 @@ hashes of word windows come from table lookups and running sums, so that no
 Python object is made for a word.  Batches are cut into blocks of bounded size;
 one very long text is a block by itself.
 
-Hashes are 64-bit polynomials with wrap-around arithmetic, mixed at the end.
+A word's hash is a keyed sum of its 8-byte parts, each mixed with its place;
+the hash of several words is a tree of mixes over theirs.  Neither is a
+polynomial, so no family of texts collides by its structure.  Two lanes with
+keys of their own give 128 bits where equality decides a result.
 """
 
 from __future__ import annotations
@@ -30,29 +33,60 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(256, dtype=U), 77)
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(n: int, base: int = 0, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse; kept between calls."""
-    got = _powers.get((base, inverse))
-    if got is None or len(got) < n:
-        b = _BASES[base]
-        if inverse:
-            b = pow(b, -1, 2**64)
-        steps = np.full(max(n, 1 << 16), U(b))
-        steps[0] = 1
-        got = _powers[base, inverse] = np.multiply.accumulate(steps)
-    return got[:n]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A hash for every values[start:end]; equal slices get equal hashes."""
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(len(values), base), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(values) + 1, base, True)[starts], base)
+#: Keys of the two lanes.
+_KEYS = (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))
+_ODD = (U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3))
+#: The lowest n bytes of a 64-bit number, n from 0 to 8.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def spans_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash for every raw[start:end] of bytes; equal slices get equal hashes."""
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    out = mix(eight[starts] & _LOW[np.minimum(size, 8)] ^ _KEYS[lane], lane) + size.astype(U) * _ODD[lane]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        parts = (size[long] - 1) >> 3  # behind the first
+        at = np.repeat(starts[long], parts)
+        place = ranges(np.ones(len(long), np.int64), parts)
+        left = np.repeat(size[long], parts) - 8 * place
+        value = mix(eight[at + 8 * place] & _LOW[np.minimum(left, 8)] ^ _KEYS[lane], lane)
+        value = mix(value + place.astype(U) * _ODD[1 - lane], 5 + lane)
+        out[long] += np.add.reduceat(value, np.cumsum(parts) - parts)
+    return mix(out, 3 + lane)
+
+
+def eight_bytes(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every slice of at most 7 bytes as one number: its bytes and their count."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))[starts] & _LOW[size] | size.astype(U) << U(56)
+
+
+def joined_hash(left: np.ndarray, right: np.ndarray, lane: int = 0) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix((left ^ _KEYS[lane]) * _ODD[lane] + mix(right ^ _KEYS[1 - lane], 7 + lane), 9 + lane)
+
+
+def runs_hash(values: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """The hash of every k neighbours in *values*, by doubling: that of twice as
+    many is the joint one of two halves."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return values[:0]
+    out, done, power, width = None, 0, values, 1
+    while True:
+        if k & width:
+            part = power[done : done + n]
+            out = part if out is None else joined_hash(out, part, lane)
+            done += width
+        if done == k:
+            return mix(out, 11 + lane)
+        power = joined_hash(power[: len(power) - width], power[width:], lane)
+        width *= 2
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +131,8 @@ class Words:
         self.ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
         #: first[i] : first[i+1] are the words of text i
         self.first = np.searchsorted(self.starts, offsets)
-        self.hash = spans_hash(_BYTE[self.raw], self.starts, self.ends) if hashed else None
+        self.hash = spans_hash(self.raw, self.starts, self.ends) if hashed else None
+        self._second: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -110,11 +145,17 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def windows(self, k: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def lane(self, lane: int) -> np.ndarray:
+        """The words' hashes in one of the two lanes."""
+        if lane and self._second is None:
+            self._second = spans_hash(self.raw, self.starts, self.ends, 1)
+        return self._second if lane else self.hash
+
+    def windows(self, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of all windows of k words that lie within a text."""
         counts = np.maximum(self.counts - (k - 1), 0)
         starts = ranges(self.first[:-1], counts)
-        return starts, spans_hash(self.hash, starts, starts + k, base)
+        return starts, runs_hash(self.lane(lane), k, lane)[starts] if len(starts) else starts.astype(U)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cuts = np.unique(np.concatenate((offsets[:-1], np.flatnonzero(raw == 10) + 1)))
     cuts = cuts[cuts < len(raw)]
     line_ends = np.append(cuts[1:], len(raw))
-    line = K.spans_hash(K._BYTE[raw], cuts, line_ends)
+    line = K.spans_hash(raw, cuts, line_ends)
     line_owner = np.searchsorted(offsets, cuts, "right") - 1
     order = np.lexsort((line, line_owner))
     again = np.zeros(len(cuts))

@@ -129,6 +129,21 @@ def symbols_of(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out + first * np.uint8(FIRST)
 
 
+def characters(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and where each begins.  A text that is no UTF-8 counts by
+    its bytes: each byte of a faulty character is one character of no class."""
+    try:
+        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
+        return points, np.flatnonzero((raw & 0xC0) != 0x80)
+    except UnicodeDecodeError:
+        text = data.decode("utf-8", "surrogateescape")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        faulty = (points >= 0xDC80) & (points <= 0xDCFF)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        size[faulty] = 1
+        return points, np.cumsum(size) - size
+
+
 _SHORT1 = set(map(ord, "stmd"))
 _SHORT2 = {(ord(a), ord(b)) for a, b in ("re", "ve", "ll")}
 
@@ -151,7 +166,7 @@ class Counter:
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
-        self.lexicon: dict[int, int] = {}
+        self.lexicon: dict[bytes, int] = {}
 
         unbyte = self.unbyte
         raw = [tuple(bytes(map(unbyte.__getitem__, side)) for side in p) for p in pairs]
@@ -234,6 +249,13 @@ class Counter:
                 size, last = len(last) - 1, taken.pop()
         return len(taken)
 
+    def known(self, piece: bytes) -> int:
+        """Tokens of a piece by the lexicon, which learns it if it is new."""
+        count = self.lexicon.get(piece)
+        if count is None:
+            count = self.lexicon[piece] = self.weigh(piece)
+        return count
+
     def merge(self, piece: bytes) -> list[bytes]:
         """What the merges leave of a piece: the best-ranked pair merges first,
         the leftmost first among equals."""
@@ -299,24 +321,24 @@ class Counter:
             raw, offsets = np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(sizes)))
         if not data:
             return total
-        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
-        place = np.flatnonzero((raw & 0xC0) != 0x80)  # of each character
+        points, place = characters(raw, data)
         first = np.zeros(len(points), bool)
         first[np.searchsorted(place, offsets[:-1][offsets[:-1] < len(raw)])] = True
         starts = place[transduce(symbols_of(points, first))]
         ends = np.append(starts[1:], len(raw))
-        hashes, at, back = np.unique(K.spans_hash(K._BYTE[raw], starts, ends), return_index=True, return_inverse=True)
+        # Equal pieces are found by their bytes: pieces of up to 8 are a number each, longer ones are looked up one by one.
         if len(self.lexicon) > LEXICON:
             self.lexicon.clear()
-        counts, known = np.empty(len(hashes), np.int64), self.lexicon
-        for k, h in enumerate(hashes.tolist()):
-            c = known.get(h)
-            if c is None:
-                i = at[k]
-                c = known[h] = self.weigh(data[starts[i] : ends[i]])
-            counts[k] = c
+        size = ends - starts
+        counts = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(size <= 7)
+        keys, at, back = np.unique(K.eight_bytes(raw, starts[short], size[short]), return_index=True, return_inverse=True)
+        first = short[at]
+        counts[short] = np.array([self.known(data[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())], np.int64)[back]
+        long = np.flatnonzero(size > 7)
+        counts[long] = [self.known(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
         text = owner[np.searchsorted(offsets, starts, "right") - 1]
-        return total + np.bincount(text, counts[back], len(total)).astype(np.int64)
+        return total + np.bincount(text, counts, len(total)).astype(np.int64)
 
     def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of every text of an Arrow column; null counts as empty."""
@@ -341,7 +363,8 @@ def token_counts(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: in
     every row.
 
     *vocabulary* is a name that ``public_tokenizers.path`` knows on every
-    worker, or a path.  Null and empty texts have 0 tokens; repeated rows give
+    worker, or a path.  Null and empty texts have 0 tokens; bytes
+    that are no UTF-8 are characters of their own; repeated rows give
     repeated results; other columns, whatever their names, are neither read
     nor returned; an empty table gives an empty result.  A pass over the rows
     without a shuffle; a worker holds one block of texts and a bounded lexicon.

@@ -54,7 +54,7 @@ def bags(words: K.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = K.ranges(first, counts)
         slots.append((K.mix(value[starts], n) >> np.uint64(40)) & np.uint64(SLOTS - 1))
         owner.append(np.repeat(np.arange(len(chosen)), counts))
-    whole = K.spans_hash(K._BYTE[words.raw], a, b)
+    whole = K.spans_hash(words.raw, a, b)
     slots.append((K.mix(whole, 9) >> np.uint64(40)) & np.uint64(SLOTS - 1))
     owner.append(np.arange(len(chosen)))
     slots, owner = np.concatenate(slots).astype(np.int64), np.concatenate(owner)

@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written first, so that the join deals both sides anew.
+    least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
     if large:
         out = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

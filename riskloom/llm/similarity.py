@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees (operator 4).
 
-Every text is the set of its word n-grams, as 52-bit hashes in one global order
-(rarer ones first).  Texts link when the Jaccard similarity of their sets
+Every text is the set of its word n-grams, as 63-bit numbers in one global
+order: rarer n-grams first, by hash, then the frequent ones by their counts.  Texts link when the Jaccard similarity of their sets
 reaches the threshold; the result is the components that the links make.
 
 * Texts with equal sets are one class; only one of each goes on.
@@ -42,27 +42,39 @@ COUNTED = 1 << 20
 #: Sets in one prefix tree.
 TREE = 256
 CLASSES = 256
-U12, U52 = np.uint64(12), np.uint64(52)
+#: The frequent n-grams are numbered from here on.
+OFTEN = np.uint64(1) << np.uint64(63)
 NULL_ID = -(2**63)
 
 
-def token_sets(batch, shingle: int, lower: bool = True):
-    """Blocks of a batch of (doc_id, text): first row, the text of each distinct
-    n-gram, the n-grams in ascending order within each text, and sizes."""
+def token_sets(batch, shingle: int, known=None, lower: bool = True, second: bool = False):
+    """Blocks of a batch of (doc_id, text): first row, last, the text of each
+    distinct n-gram, the n-grams in the global order within each text, sizes,
+    and with *second* the n-grams' hashes in the other lane."""
     raw, offsets = K.string_bytes(batch.column(1))
     for i, j in K.blocks(offsets):
         for low in range(i, j, 4096):
             high = min(j, low + 4096)
             words = K.Words(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower)
             starts, hashes = words.windows(shingle)
-            text = np.searchsorted(words.first, starts, "right") - 1
-            short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))  # the whole sequence as one
-            whole = K.spans_hash(words.hash, words.first[short], words.first[short + 1])
-            text, hashes = np.concatenate((text, short)), np.concatenate((hashes, whole))
-            keys = np.sort((text.astype(np.uint64) << U52) | (hashes >> U12))
-            keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-            text = (keys >> U52).astype(np.int64)
-            yield low, high, text, keys & np.uint64((1 << 52) - 1), np.bincount(text, minlength=high - low)
+            parts = [(np.searchsorted(words.first, starts, "right") - 1, hashes, words.windows(shingle, 1)[1] if second else None)]
+            for size in range(1, shingle):  # the whole sequence as one
+                short = np.flatnonzero(words.counts == size)
+                if len(short):
+                    at = words.first[short]
+                    parts.append((short, K.runs_hash(words.hash, size)[at], K.runs_hash(words.lane(1), size, 1)[at] if second else None))
+            text, tokens = np.concatenate([p[0] for p in parts]).astype(np.uint16), np.concatenate([p[1] for p in parts]) >> np.uint64(1)
+            if known is not None and len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], tokens), len(known[0]) - 1)
+                tokens = np.where(known[0][at] == tokens, OFTEN + known[1][at], tokens)
+            order = np.argsort(tokens)
+            order = order[np.argsort(text[order], kind="stable")]
+            text, tokens = text[order].astype(np.int64), tokens[order]
+            fresh = np.ones(len(tokens), bool)
+            fresh[1:] = (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1])
+            other = np.concatenate([p[2] for p in parts])[order][fresh] if second else None
+            text, tokens = text[fresh], tokens[fresh]
+            yield low, high, text, tokens, np.bincount(text, minlength=high - low), other
 
 
 def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -88,8 +100,8 @@ def _survey(shingle: int):
         parts, held, seen = [], 0, set()
         for batch in batches:
             ids = batch.column(0)
-            for i, j, text, tokens, sizes in token_sets(batch, shingle):
-                k1, k2 = _summed(K.mix(tokens, 1), sizes), _summed(K.mix(tokens, 2), sizes)
+            for i, j, text, tokens, sizes, other in token_sets(batch, shingle, second=True):
+                k1, k2 = _summed(K.mix(tokens, 1), sizes), _summed(K.mix(other, 2), sizes)
                 fresh = np.zeros(j - i, bool)
                 for t, k in enumerate(k1.tolist()):
                     if k not in seen:
@@ -113,31 +125,12 @@ def _prefixes(shingle: int, percent: int, sent):
     """doc, n, its first n-grams in the global order, and counts by class."""
 
     def run(batches):
-        known, often = sent.value
         for batch in batches:
             ids = batch.column(0)
-            for i, j, text, tokens, sizes in token_sets(batch, shingle):
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    rank = np.where(known[at] == tokens, often[at], 0)
-                else:
-                    rank = np.zeros(len(tokens), np.int64)
+            for i, j, text, tokens, sizes, _ in token_sets(batch, shingle, sent.value):
                 need = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
                 first = np.cumsum(sizes) - sizes
-                rare = rank == 0
-                # Rare ones come in the order of their hashes, which they are in already.
-                before = np.cumsum(rare) - rare
-                place = before - before[np.minimum(first, max(len(tokens) - 1, 0))][text] if len(tokens) else before
-                take = rare & (place < need[text])
-                got = np.bincount(text[take], minlength=j - i)
-                late = np.flatnonzero(~rare & (got < need)[text])
-                if len(late):
-                    late = late[np.lexsort((tokens[late], rank[late], text[late]))]
-                    head = np.searchsorted(text[late], np.arange(j - i))
-                    late = late[np.arange(len(late)) - head[text[late]] < (need - got)[text[late]]]
-                    take[late] = True
-                taken = np.flatnonzero(take)
-                taken = taken[np.lexsort((tokens[taken], rank[taken], text[taken]))]
+                taken = np.flatnonzero(np.arange(len(tokens)) - first[text] < need[text])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(text[taken], minlength=j - i)))), pa.int32()), pa.array(K.signed(tokens[taken])))
                 classes = np.bincount(text * CLASSES + (tokens & np.uint64(CLASSES - 1)).astype(np.int64), minlength=(j - i) * CLASSES)
                 counts = np.minimum(classes, 65535).astype("<u2").reshape(j - i, CLASSES)
@@ -169,11 +162,11 @@ def _possible(percent: int):
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, sent):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for i, j, _, tokens, sizes in token_sets(batch, shingle):
+            for i, j, _, tokens, sizes, _ in token_sets(batch, shingle, sent.value):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(K.signed(tokens)))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), lists], ["doc", "tokens"])
 
@@ -265,8 +258,9 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     survey = keep(docs.mapInArrow(_survey(shingle), "doc bigint, n bigint, k1 bigint, k2 bigint, token bigint, count bigint"), "similarity-survey")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN).toPandas()
-    often = often.sort_values("token")
-    sent = spark.sparkContext.broadcast((often["token"].to_numpy().view(np.uint64), often["count"].to_numpy()))
+    often = often.sort_values(["count", "token"])["token"].to_numpy().view(np.uint64)
+    place = np.argsort(often)
+    sent = spark.sparkContext.broadcast((often[place], place.astype(np.uint64)))
     base = survey.filter("token is null").select("doc", "n", "k1", "k2")
     # Equal sets are one class, led by its smallest id.
     classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("leader"), F.count("*").alias("members"))
@@ -277,6 +271,9 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     sets = keep(sets.filter("n > 0").join(followers.select("doc"), "doc", "left_anti"), "similarity-prefixes")
     entries = sets.select("doc", "n", F.posexplode("prefix").alias("place", "token"))
     hubs = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "place")).alias("hub"), F.max("doc").alias("last")).filter("hub.doc < last")
+    # Written first, like all that is joined to the rows it was made from: both sides are then dealt anew, and
+    # adaptive execution can split a key that very many rows share.
+    hubs = keep(hubs, "similarity-hubs")
     hubs = hubs.select("token", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
     members = keep(entries.join(hubs, "token"), "similarity-groups")
 
@@ -292,7 +289,7 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
         both = pairs.join(c.select(F.col("doc").alias("a"), F.col("classes").alias("ca")), "a").join(c.select(F.col("doc").alias("b"), F.col("classes").alias("cb")), "b")
         good = keep(both.mapInArrow(_possible(percent), "a bigint, b bigint"), f"similarity-pairs-{name}")
         ids = good.select(F.col("a").alias("doc_id")).unionByName(good.select(F.col("b").alias("doc_id"))).distinct()
-        full = keep(docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "doc bigint, tokens array<bigint>"), f"similarity-sets-{name}")
+        full = keep(docs.join(ids, "doc_id").mapInArrow(_sets(shingle, sent), "doc bigint, tokens array<bigint>"), f"similarity-sets-{name}")
         joined = good.join(full.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b").join(full.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
         joined = joined.sortWithinPartitions("a")
         return keep(joined.mapInArrow(_links(percent), "a bigint, b bigint"), f"similarity-links-{name}")
@@ -305,8 +302,10 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     label = F.coalesce("component", "doc").alias("label")
     placed = members.join(stars, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "place", label)
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    mixed = keep(mixed, "similarity-open")
     placed = keep(placed.join(mixed, "token"), "similarity-mixed")
     largest = placed.groupBy("token", "label").agg(F.count("*").alias("held")).groupBy("token").agg(F.max(F.struct("held", "label"))["label"].alias("main"))
+    largest = keep(largest, "similarity-largest")
     rest = placed.join(largest, "token").filter("label <> main")
     other = placed.select("token", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
     open_ = rest.join(other, "token").filter((F.col("label") != F.col("label2")) & fits("n2", "place2") & ((F.col("label2") == F.col("main")) | (F.col("doc") < F.col("doc2"))))

@@ -3,8 +3,8 @@
 Bytes are kept as WAV files of the three telephony formats, and read back from
 them: mu-law and A-law (one byte a sample) and IMA ADPCM (blocks of 64 bytes).
 The companded formats are expanded by 256-entry lookup tables made from their
-rule; ADPCM is decoded with numpy across blocks, one step for all blocks at a
-time.  Decoded sound is resampled and can be stored as 16-bit PCM.
+rule; ADPCM is decoded with numpy across the blocks of many texts, one step for
+all blocks at a time.  Decoded sound is resampled and stored as 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -12,17 +12,24 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import kernel as K
+from .shared import free_name
 
 UNIT = 64
 RATE = 8000
 #: Fixed values of the WAV container: format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "ima": 17, "pcm": 1}
 CODECS = ("mulaw", "alaw", "ima")
+#: Bytes of texts whose blocks are decoded together, but for a single longer text.
+SLICE = 1 << 20
 #: Samples in a mono IMA block of 64 bytes: one in the header, two in each further byte.
 IMA_SAMPLES = 1 + 2 * (UNIT - 4)
 #: Fixed values of IMA ADPCM: change of the step index for each code without its sign.
@@ -57,23 +64,32 @@ def _ima_steps() -> np.ndarray:
 MULAW, ALAW, STEPS = _mulaw_table(), _alaw_table(), _ima_steps()
 
 
+def _ima_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Change of the value and next step index, by step index * 16 + code."""
+    step, code = STEPS[:, None], np.arange(16, dtype=np.int32)[None, :]
+    size = step >> 3
+    for bit, shift in ((4, 0), (2, 1), (1, 2)):
+        size = size + np.where(code & bit, step >> shift, 0)
+    index = np.clip(np.arange(len(STEPS))[:, None] + INDEX_CHANGE[code & 7], 0, len(STEPS) - 1)
+    return np.where(code & 8, -size, size).reshape(-1).astype(np.int32), (16 * index).reshape(-1).astype(np.int32)
+
+
+CHANGE, NEXT = _ima_tables()
+
+
 def decode_ima(blocks: np.ndarray) -> np.ndarray:
     """(n, 64) bytes to (n, 121) samples.  A step index beyond 88 counts as 88."""
     head = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
-    index = np.minimum(blocks[:, 2].astype(np.int32), len(STEPS) - 1)
+    at = 16 * np.minimum(blocks[:, 2].astype(np.int32), len(STEPS) - 1)
     out = np.empty((IMA_SAMPLES, len(blocks)), np.int16)
     out[0] = value = head
     codes = np.ascontiguousarray(blocks[:, 4:].T)
     for i in range(IMA_SAMPLES - 1):
-        code = (codes[i >> 1] >> 4 * (i & 1)) & 15
-        step = STEPS[index]
-        change = step >> 3
-        for bit, shift in ((4, 0), (2, 1), (1, 2)):
-            change = change + np.where(code & bit, step >> shift, 0)
-        value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
-        index = np.clip(index + INDEX_CHANGE[code & 7], 0, len(STEPS) - 1)
+        at = at + (codes[i >> 1] >> 4 * (i & 1) & 15)
+        value = np.clip(value + CHANGE[at], -32768, 32767)
+        at = NEXT[at]
         out[i + 1] = value
-    return out.T
+    return np.ascontiguousarray(out.T)
 
 
 def wav(data: bytes, codec: str, rate: int = RATE) -> bytes:
@@ -101,6 +117,8 @@ def unwav(file: bytes) -> tuple[str, int, bytes]:
     while at + 8 <= len(file):
         name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
         if name == b"fmt ":
+            if size < 16 or at + 24 > len(file):
+                raise ValueError("cut short")
             tag, channels, rate = struct.unpack_from("<HHI", file, at + 8)
             codec = {v: k for k, v in TAGS.items()}.get(tag)
             if codec is None or channels != 1:
@@ -125,9 +143,18 @@ def decode(codec: str, data: bytes) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation on the exact rational grid, in integers."""
+    """Linear interpolation on the exact rational grid, in integers: samples
+    rounded down, the last one held."""
     if rate == to or not len(pcm):
         return pcm.astype(np.int16)
+    if to % rate == 0:  # the same, with one rest for each of the samples between two
+        times = to // rate
+        a = pcm.astype(np.int32)
+        ahead = np.append(a[1:], a[-1]) - a
+        out = np.empty((len(a), times), np.int16)
+        for k in range(times):
+            out[:, k] = a + ahead * k // times
+        return out.reshape(-1)
     n = len(pcm) * to // rate
     at = np.arange(n, dtype=np.int64) * rate
     i, rest = at // to, at % to
@@ -138,9 +165,9 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
 def features(pcm: np.ndarray, rate: int) -> str:
     """Length, level and shape of the sound, all from integers."""
     x = pcm.astype(np.int64)
-    rms = int(np.sqrt(int((x * x).sum()) / max(len(x), 1)))
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"rate={rate};samples={len(x)};peak={int(np.abs(x).max(initial=0))};rms={rms};crossings={crossings};crc={zlib.crc32(pcm.tobytes())}"
+    rms = int(np.sqrt(int(np.dot(x, x)) / max(len(x), 1)))
+    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
+    return f"rate={rate};samples={len(x)};peak={int(np.abs(x).max(initial=0))};rms={rms};crossings={crossings};crc={zlib.crc32(pcm)}"
 
 
 def to_payload(text: bytes) -> bytes:
@@ -154,43 +181,74 @@ def store(payload: bytes) -> bytes:
     return wav(payload, CODECS[zlib.crc32(payload) % 3])
 
 
-def audio_column(df: DataFrame, text: str = "text", to_rate: int = 16000, keep_pcm: bool = False) -> DataFrame:
-    """All columns of *df* plus ``audio`` (struct of the stored file, the
-    payload read back, features and, with *keep_pcm*, the resampled 16-bit PCM
-    WAV).  Null and empty texts become 64 zero bytes.  Row by row, so neither
-    skew nor repeated rows matter; one row is in memory at a time."""
-    kind = "struct<n_bytes:bigint,payload:binary,media:binary,feature:string,pcm:binary>"
+class Sound(NamedTuple):
+    """One text as audio: its size, the stored file, what is read back from it,
+    and the decoded sound as a 16-bit PCM file with its features."""
+
+    n_bytes: int
+    media: bytes
+    payload: bytes
+    feature: str
+    pcm: bytes
+
+
+def sounds(column: pa.Array, to_rate: int):
+    """(first row, sounds) for slices of a text column; null counts as empty.
+    All ADPCM blocks of a slice are decoded as one array."""
+    raw, offsets = K.string_bytes(column)
+    for i, j in K.blocks(offsets, SLICE):
+        texts = [raw[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())]
+        media = [store(to_payload(t)) for t in texts]
+        read = [unwav(m) for m in media]
+        data = b"".join(d for codec, _, d in read if codec == "ima")
+        decoded, at = decode_ima(np.frombuffer(data, np.uint8).reshape(-1, UNIT)), 0
+        out = []
+        for t, m, (codec, rate, back) in zip(texts, media, read):
+            if codec == "ima":
+                pcm = decoded[at : at + len(back) // UNIT].reshape(-1)
+                at += len(back) // UNIT
+            else:
+                pcm = decode(codec, back)
+            pcm = resample(pcm, rate, to_rate)
+            out.append(Sound(len(t), m, back, f"{codec};{features(pcm, to_rate)}", wav(pcm.tobytes(), "pcm", to_rate)))
+        yield i, out
+
+
+def audio_column(df: DataFrame, text: str = "text", to_rate: int = 16000, out: str = "audio") -> DataFrame:
+    """All columns of *df* plus *out*: a struct of n_bytes, the stored file
+    (media), the payload read back, feature, and the resampled sound as a 16-bit
+    PCM file.  Null and empty texts become 64 zero bytes.  Rows stay where they
+    lie, so that neither skew nor repeated rows matter; an empty table gives an
+    empty one.  If *df* has a column *out*, the new one gets underscores."""
+    place, out = df.columns.index(text), free_name(out, df.columns)
+    kind = pa.struct([("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()), ("pcm", pa.binary())])
+    schema = T.StructType(list(df.schema.fields)).add(out, T.StructType().add("n_bytes", T.LongType()).add("media", T.BinaryType()).add("payload", T.BinaryType()).add("feature", T.StringType()).add("pcm", T.BinaryType()))
 
-    def one(value) -> dict:
-        raw = (value or "").encode("utf-8", "surrogatepass")
-        media = store(to_payload(raw))
-        codec, rate, back = unwav(media)
-        sound = resample(decode(codec, back), rate, to_rate)
-        return {"n_bytes": len(raw), "payload": back, "media": media, "feature": f"{codec};{features(sound, to_rate)}", "pcm": wav(sound.tobytes(), "pcm", to_rate) if keep_pcm else None}
+    def run(batches):
+        for batch in batches:
+            for i, found in sounds(batch.column(place), to_rate):
+                rows = batch.slice(i, len(found))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([s._asdict() for s in found], kind)], [*rows.schema.names, out])
 
-    return df.withColumn("audio", F.udf(one, kind, useArrow=True)(F.col(text)))
+    return df.mapInArrow(run, schema)
 
 
 def audio_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", to_rate: int = 16000) -> DataFrame:
     """The digest columns of the stored audio of every text, and of the 16-bit
-    PCM WAV of its resampled sound.  An empty table
-    gives an empty result; other columns of *df*, whatever their names, are
-    neither read nor returned."""
+    PCM file of its resampled sound.  Null and empty texts become 64 zero bytes;
+    repeated rows give repeated results.  An empty table gives an empty result;
+    other columns of *df*, whatever their names, are neither read nor returned."""
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
     names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in schema.split(", ")[1:]]
+
+    def sha(x: bytes) -> str:
+        return hashlib.sha256(x).hexdigest()
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-                media = store(to_payload(raw))
-                codec, rate, back = unwav(media)
-                sound = resample(decode(codec, back), rate, to_rate)
-                pcm = wav(sound.tobytes(), "pcm", to_rate)
-                rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f"{codec};{features(sound, to_rate)}", len(pcm), hashlib.sha256(pcm).hexdigest()))
-            columns = zip(*rows) if rows else [[] for _ in names]
-            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature", "pcm_sha256") else pa.int64() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+            for i, found in sounds(batch.column(1), to_rate):
+                rows = [(s.n_bytes, len(s.payload), sha(s.payload), zlib.crc32(s.payload[-UNIT:]), len(s.media), sha(s.media), s.feature, len(s.pcm), sha(s.pcm)) for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(found)), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names)
 
     return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

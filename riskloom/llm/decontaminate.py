@@ -7,6 +7,11 @@ shares with an item are counted in bands of diagonals, each overlapping the
 next by half; a band below the bound holds no occurrence.  What remains is
 verified by banded alignment.
 
+Counting goes in stages, each over what the one before left, and each in slices
+of bounded size, so that passages which very many items share cost neither
+memory nor alignments: distinct q-grams of a text by item; distinct 4-grams,
+whose bound (L - 3 - 4 * k) is the tighter; then places, in bands.
+
 Texts are compared as bytes after folding A-Z to a-z and every run of ASCII
 characters other than letters and digits to one space.  q is 8, so that a
 q-gram is exactly one 64-bit word.
@@ -27,7 +32,9 @@ EDITS = 0.1
 #: Normalised items shorter than this are searched without edits, as whole words.
 LEAST = 24
 #: Bytes of item text that one pass holds; more items are searched in further passes.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 8 << 20
+#: Shared q-grams that are spread out at once, but for those of a single q-gram.
+HITS = 1 << 21
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -60,6 +67,14 @@ def grams(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, value[starts]
 
 
+def fours(folded: np.ndarray) -> np.ndarray:
+    """The 4-grams at every place, as 16-bit numbers; different ones may share one."""
+    value = folded.astype(np.uint32)
+    for width in (1, 2):
+        value = value[:-width] | value[width:] << np.uint32(8 * width)
+    return ((value * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+
+
 class Items:
     """A searchable set of items: (id, text) rows."""
 
@@ -89,7 +104,9 @@ class Items:
         starts, value = grams(joined, offsets)
         item = np.searchsorted(offsets, starts, "right") - 1
         order = np.argsort(value, kind="stable")
-        self.gram_item, self.gram_at = item[order], (starts - offsets[item])[order]
+        self.gram_item = item[order].astype(np.int32)
+        self.fours: dict[int, np.ndarray] = {}
+        self.present = np.zeros(1 << 16, bool)
         self.grams, self.gram_first = np.unique(value[order], return_index=True)
         self.gram_first = np.append(self.gram_first, len(order))
         self.bits = 22
@@ -99,16 +116,6 @@ class Items:
     def slot(self, value: np.ndarray) -> np.ndarray:
         return (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def hits(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index into *value*, item and place in the item, for every shared q-gram."""
-        maybe = np.flatnonzero(self.seen[self.slot(value)])
-        i = np.searchsorted(self.grams, value[maybe])
-        good = self.grams[np.minimum(i, len(self.grams) - 1)] == value[maybe]
-        maybe, i = maybe[good], i[good]
-        counts = self.gram_first[i + 1] - self.gram_first[i]
-        at = K.ranges(self.gram_first[i], counts)
-        return np.repeat(maybe, counts), self.gram_item[at], self.gram_at[at]
-
     def search(self, raw: np.ndarray, offsets: np.ndarray):
         """(text, item index, first byte, last byte + 1, edits) of each occurrence in a block."""
         if not len(self.ids) or not len(raw):
@@ -119,42 +126,112 @@ class Items:
         if not self.texts:
             return
         starts, value = grams(folded, bounds)
-        at, item, within = self.hits(value)
-        where = starts[at]
+        maybe = np.flatnonzero(self.seen[self.slot(value)])
+        gram = np.searchsorted(self.grams, value[maybe])
+        good = self.grams[np.minimum(gram, len(self.grams) - 1)] == value[maybe]
+        where, value, gram = starts[maybe[good]], value[maybe[good]], gram[good]
         text = np.searchsorted(bounds, where, "right") - 1
+        for t, near in self.sharing(text, gram):
+            low, high = int(bounds[t]), int(bounds[t + 1])
+            near = self.holding(folded[low:high], near)
+            if not len(near):
+                continue
+            a, b = np.searchsorted(text, (t, t + 1))
+            for k in near.tolist():
+                for begin, end in self.places(k, where[a:b] - low, value[a:b], high - low):
+                    for x, y, edits in self.verify(k, folded[low + begin : low + end]):
+                        x, y = low + begin + x, low + begin + y
+                        yield t, k, int(place[x]), int(place[y - 1]) + 1, edits
+
+    def sharing(self, text: np.ndarray, gram: np.ndarray):
+        """(text, items) where the text holds as many of an item's q-grams as the
+        bound asks for, wherever they stand."""
         n = len(self.texts)
-        # A text that shares too few q-grams with an item over all its length is out at once.
-        pair = text * n + item
-        if (len(bounds) - 1) * n <= 4 * K.BLOCK_BYTES:
-            good = (np.bincount(pair, minlength=1) >= np.tile(self.bound, len(bounds) - 1)[: pair.max(initial=0) + 1])[pair]
-        else:
-            _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
-            good = total[back] >= self.bound[item]
-        text, item, within, where, pair = text[good], item[good], within[good], where[good], pair[good]
-        if not len(text):
-            return
-        step = self.step[item]
-        band = (where - bounds[text] - within + self.size[item]) // step  # the diagonal is 0 at least
-        # Each hit is in two bands: band b holds the diagonals from b to b + 2 steps.
-        # As one number: pair, band, place in the item; a place counts once in a band.
-        pairs, back = np.unique(pair, return_inverse=True)
-        wide, deep = int(band.max()) + 3, int(self.size.max())
-        keys = (back * wide + band + 1) * deep + within
-        keys = np.sort(np.concatenate((keys, keys - deep)))
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-        which, count = np.unique(keys // deep, return_counts=True)
-        full = which[count >= self.bound[pairs[which // wide] % n]]
-        bands = np.stack((pairs[full // wide] // n, pairs[full // wide] % n, full % wide - 1), 1)
+        pairs = np.unique(text * len(self.grams) + gram)
+        text, gram = pairs // len(self.grams), pairs % len(self.grams)
+        counts = self.gram_first[gram + 1] - self.gram_first[gram]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        heads = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text)) if len(text) else np.zeros(1, np.int64)
         i = 0
-        while i < len(bands):
-            j = i + 1
-            while j < len(bands) and (bands[j, :2] == bands[j - 1, :2]).all() and bands[j, 2] - bands[j - 1, 2] <= 1:
-                j += 1
-            t, k = int(bands[i, 0]), int(bands[i, 1])
-            low = int(bands[i, 2]) * int(self.step[k]) - int(self.size[k])
-            high = (int(bands[j - 1, 2]) + 2) * int(self.step[k]) - int(self.size[k])
-            yield from self.verify(folded, bounds, place, t, k, low, high)
-            i = j
+        while i < len(heads) - 1:
+            a = heads[i]
+            j = int(np.searchsorted(total[heads], total[a] + HITS, "right")) - 1
+            if j > i:  # whole texts
+                b = heads[j]
+                at = K.ranges(self.gram_first[gram[a:b]], counts[a:b])
+                found, held = np.unique(np.repeat(text[a:b], counts[a:b]) * n + self.gram_item[at], return_counts=True)
+                found = found[held >= self.bound[found % n]]
+                first = np.flatnonzero(np.append(True, found[1:] // n != found[:-1] // n)) if len(found) else found
+                for part in np.split(found, first[1:]):
+                    if len(part):
+                        yield int(part[0]) // n, part % n
+                i = j
+                continue
+            held, b = np.zeros(n, np.int64), heads[i + 1]
+            while a < b:
+                end = min(b, max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1))
+                held += np.bincount(self.gram_item[K.ranges(self.gram_first[gram[a:end]], counts[a:end])], minlength=n)
+                a = end
+            found = np.flatnonzero(held >= self.bound)
+            if len(found):
+                yield int(text[heads[i]]), found
+            i += 1
+
+    def holding(self, part: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Those of *items* of whose 4-grams *part* holds as many as their bound."""
+        have = fours(part)
+        self.present[have] = True
+        good = []
+        for k in items.tolist():
+            mine = self.fours.get(k)
+            if mine is None:
+                mine = self.fours[k] = fours(self.texts[k])
+            good.append(np.count_nonzero(self.present[mine]) >= len(mine) - 4 * self.edits[k])
+        self.present[have] = False
+        return items[np.array(good, bool)]
+
+    def places(self, k: int, where: np.ndarray, value: np.ndarray, length: int) -> list[tuple[int, int]]:
+        """The parts of a text, apart from each other, that hold all occurrences
+        of item k; *where* its known q-grams stand, with their values."""
+        size, most, step = int(self.size[k]), int(self.edits[k]), int(self.step[k])
+        at, mine = grams(self.texts[k], np.array([0, size]))
+        order = np.argsort(mine, kind="stable")
+        at, mine = at[order], mine[order]
+        low, high = np.searchsorted(mine, value), np.searchsorted(mine, value, "right")
+        counts = high - low
+        if counts.sum() > HITS:  # both repeat themselves all over
+            return [(0, length)]
+        within = at[K.ranges(low, counts)]
+        band = (np.repeat(where, counts) - within + size) // step  # the diagonal is 0 at least
+        # Each hit is in two bands: band b holds the diagonals from b to b + 2 steps; a place of the item counts once in a band.
+        keys = (band + 1) * size + within
+        keys = np.unique(np.concatenate((keys, keys - size)))
+        which, count = np.unique(keys // size, return_counts=True)
+        out: list[tuple[int, int]] = []
+        for b in (which[count >= self.bound[k]] - 1).tolist():
+            begin, end = max(0, b * step - size - most), min(length, (b + 2) * step + most)
+            if out and begin <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end))
+            else:
+                out.append((begin, end))
+        return out
+
+    def verify(self, k: int, part: np.ndarray):
+        """(begin, end, edits) of the occurrences of item k in a part of a text:
+        the one of least edits first, the leftmost of equals, then those on
+        either side of it."""
+        item, size, most = self.texts[k], int(self.size[k]), int(self.edits[k])
+        parts, found = [(0, len(part))], []
+        while parts:
+            a, b = parts.pop()
+            if b - a < size - most or not len(self.holding(part[a:b], np.array([k]))):
+                continue
+            best = align(item, part[a:b], -most, b - a - size + most + 1, most)
+            if best:
+                edits, begin, end = best
+                found.append((a + begin, a + end, edits))
+                parts += [(a, a + begin), (a + end, b)]
+        return sorted(found)
 
     def exact(self, folded, bounds, place):
         """The occurrences of short items, from one word border to another."""
@@ -180,26 +257,15 @@ class Items:
                     for k in known[key]:
                         yield t, k, int(place[a]), int(place[a + size - 1]) + 1, 0
 
-    def verify(self, folded, bounds, place, t, k, low, high):
-        """The occurrences of item k in text t on the diagonals from low to high."""
-        most, lo, hi = int(self.edits[k]), int(bounds[t]), int(bounds[t + 1])
-        while low < high:
-            found = align(self.texts[k], folded[lo:hi], low, high)
-            if found is None or found[0] > most:
-                return
-            edits, begin, end = found
-            yield t, k, int(place[lo + begin]), int(place[lo + end - 1]) + 1, edits
-            # Others can only lie further on or further back; go on behind this one.
-            low = begin + max(1, int(self.size[k]) - most)
-
-
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """Least edits of *item* against any part of *text* on diagonals low to
-    high - 1, with where that part begins and ends; among equals the leftmost."""
+
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """Least edits, *most* at most, of *item* against any part of *text* on
+    diagonals low to high - 1, with where that part begins and ends; among
+    equals the leftmost."""
     width = high - low
     if width <= 0 or not len(text):
         return None
-    shift, columns = 24, np.arange(width, dtype=np.int64)
+    shift, columns = 32, np.arange(width, dtype=np.int64)
     one = np.int64(1) << shift
     never = one << 20
     # state: edits << shift | where in the text it begins, by diagonal
@@ -216,12 +282,14 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
         new -= ramp
         state = np.minimum.accumulate(new, out=new)
         state += ramp
+        if i % 32 == 31 and int(state.min() >> shift) > most:
+            return None
     best = int(state.argmin())
     edits = int(state[best] >> shift)
-    if edits >= 1 << 20:
+    if edits > most:
         return None
-    first, last = int(state[best] & (one - 1)), int(begin[best]) + len(item)
-    return (edits, first, min(last, len(text))) if 0 <= first < min(last, len(text)) else None
+    first, last = int(state[best] & (one - 1)), min(int(begin[best]) + len(item), len(text))
+    return (edits, first, last) if 0 <= first < last else None
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str):
@@ -239,8 +307,9 @@ def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_i
     edits, for every place in *df* where an item occurs with at most *edits*
     times its length of edits, counted on normalised bytes.
 
-    Items under 24 normalised bytes are searched as whole words, without edits.
-    Null and empty texts and items, and items with a null id, have no
+    Occurrences of one item don't overlap: the one of least edits counts first
+    (the leftmost of equals), then those on either side of it.  Items under 24
+    normalised bytes are searched as whole words, without edits.  Null and empty texts and items, and items with a null id, have no
     occurrences; repeated rows give repeated results; empty tables give none;
     other columns, whatever their names, are neither read nor returned.  Only
     the items are sent around, in passes of bounded size; documents are read

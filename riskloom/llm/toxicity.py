@@ -1,12 +1,15 @@
 """Toxicity by subword-bag embeddings (operator 8).
 
-A bag holds the character n-grams of one passage, with marks at word ends; a
-passage is a word.  Its embedding is the mean of its n-grams' vectors, and a
-linear softmax over two classes reads it.  N-gram vectors and softmax are
-trained jointly in numpy, so that misspellings never seen share the vectors of
-the n-grams they keep.  A document is as toxic as its most toxic passage: the
-gradient of a document flows to that passage, and long documents are not
-diluted.
+A word's bag holds its character n-grams, with marks at its ends.  A text's
+embedding is the average of its words' bags, and a linear softmax over two
+classes reads it.  N-gram vectors and softmax begin at random and are trained
+jointly in numpy, so that misspellings never seen share the vectors of the
+n-grams they keep.
+
+The average is first taken over all words of a text; from epoch to epoch it
+draws in to the share of words that the model so far finds most toxic, so that
+what a long text says besides doesn't drown them.  The score, too, is
+read from the average over a text's most toxic share of words.
 
 As everything after the vectors is linear, a trained model is one number for
 each n-gram slot: bytes that are few and fixed, whatever the corpus.
@@ -27,8 +30,14 @@ SAMPLE = 3_000
 SLOTS = 1 << 18
 SIZES = (3, 4, 5, 6)
 DIMENSIONS = 8
-EPOCHS = 8
-BATCH = 128
+#: The share of a text's words that its average is taken over, epoch by epoch, and in the end for its score.
+SHARES = (1, 0.5, 0.2, 0.1, 0.05, 0.02, *[0.01] * 8)
+SCORED = 0.01
+#: Words in an average at least, if a text has as many.
+LEAST = 2
+BATCH = 64
+#: Size of steps, and of the squares that their scale begins with.
+RATE, GROUND = 0.2, 1e-3
 #: The score of a text without words.
 NOTHING = 0.001
 
@@ -63,10 +72,12 @@ def bags(words: K.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(raw, offsets):
-    """Words of a block, the distinct ones, and (text, distinct word) pairs."""
+    """The words of a block, where the distinct ones first stand, and for each
+    text its distinct words and how often it has them, as (text, word, times)."""
     words = K.Words(raw, offsets, lower=True)
     _, chosen, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    return words, chosen, back
+    pairs, times = np.unique(words.owner() * max(len(chosen), 1) + back, return_counts=True)
+    return words, chosen, pairs // max(len(chosen), 1), pairs % max(len(chosen), 1), times
 
 
 class _Sample:
@@ -75,19 +86,18 @@ class _Sample:
     def __init__(self, texts: list[str], y: np.ndarray):
         raw, offsets = K.string_bytes(pa.array(texts, pa.large_string()))
         self.y, self.n = y, len(y)
-        hashes, slots, counts, doc, word, held = [], [], [], [], [], 0
+        hashes, slots, counts, doc, word, times, held = [], [], [], [], [], [], 0
         for i, j in K.blocks(offsets):  # in blocks, so that the driver holds few numbers a byte
-            words, chosen, back = _distinct(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            words, chosen, of, which, often = _distinct(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if not len(chosen):
                 continue
             got, sizes = bags(words, chosen)
-            pairs = np.sort(words.owner() * len(chosen) + back)
-            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
             hashes.append(words.hash[chosen])
             slots.append(got.astype(np.int32))
             counts.append(sizes)
-            doc.append(i + pairs // len(chosen))
-            word.append(held + pairs % len(chosen))
+            doc.append(i + of)
+            word.append(held + which)
+            times.append(often)
             held += len(chosen)
         none = [np.zeros(0, np.int64)]
         # Words that several blocks hold become one.
@@ -98,103 +108,121 @@ class _Sample:
         self.slots = np.concatenate(slots or none)[K.ranges(begin[first], self.counts)]
         self.begin = np.cumsum(self.counts) - self.counts
         self.doc, self.word = np.concatenate(doc or none), same[np.concatenate(word or none)]
-        self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
-
-    def odds(self, docs: np.ndarray, prior: float = 5.0) -> np.ndarray:
-        """Log odds of each slot by the documents that hold it, shrunk to 0
-        where there are few: where training begins."""
-        held = [np.full(SLOTS, 0.0), np.full(SLOTS, 0.0)]
-        for d in docs.tolist():
-            words = self.word[self.first[d] : self.first[d + 1]]
-            mine = self.slots[K.ranges(self.begin[words], self.counts[words])]
-            mine = np.sort(mine)
-            held[int(self.y[d])][mine[np.append(True, mine[1:] != mine[:-1])] if len(mine) else mine] += 1
-        share = self.y[docs].mean()
-        return (np.log((held[1] + prior * share) / (held[0] + prior * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
-
-    def leads(self, reading: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each document's most toxic word and its logit; -1 where it has no words."""
-        z = np.add.reduceat(reading[self.slots], self.begin) / self.counts
-        z = z[self.word]
-        top = np.full(self.n, -np.inf)
-        np.maximum.at(top, self.doc, z)
-        lead = np.full(self.n, -1, np.int64)
-        best = np.flatnonzero(z == top[self.doc])
-        lead[self.doc[best]] = self.word[best]
-        return lead, top
-
-    def train(self, docs: np.ndarray, epochs: int, rng) -> np.ndarray:
-        """The reading of each slot: vectors and softmax, trained jointly."""
+        self.times = np.concatenate(times or none)
+
+    def bagged(self, reading: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The most toxic share of each text's words, text by text, as ``_top`` has it."""
+        return _top(self.doc, self.word, self.times, self._words(reading)[self.word], self.n, share)
+
+    def _words(self, reading: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(reading[self.slots], self.begin) / self.counts if len(self.slots) else np.zeros(0)
+
+    def logits(self, reading: np.ndarray, share: float = SCORED) -> np.ndarray:
+        """What is read from each text's average; minus infinity without words."""
+        word, times, first = self.bagged(reading, share)
+        return _means(self._words(reading)[word], times, first)
+
+    def train(self, docs: np.ndarray, shares, rng) -> np.ndarray:
+        """The reading of each slot: vectors and softmax, trained jointly by
+        steps that shrink with the gradients a slot has seen."""
         share = self.y[docs].mean()
-        weight = np.where(self.y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        weight = np.where(self.y == 1, 0.5 / share, 0.5 / (1 - share))
         vectors = rng.normal(0, 0.05, (SLOTS, DIMENSIONS)).astype(np.float32)
-        softmax = rng.normal(0, 0.05, (2, DIMENSIONS)).astype(np.float32)
-        vectors[:, 0] = self.odds(docs) / 2
-        softmax[:, 0] = (-1, 1)
-        bias = np.array([1.0, -1.0], np.float32)
-        seen, seen_top = np.full(SLOTS, 1e-3, np.float32), 1e-3
-        for _ in range(epochs):
-            lead, _ = self.leads(vectors @ (softmax[1] - softmax[0]))
-            some = docs[lead[docs] >= 0]
+        softmax = rng.normal(0, 0.05, (2, DIMENSIONS)) + np.array([[-1], [1]]) / DIMENSIONS**0.5
+        softmax, bias = softmax.astype(np.float32), np.zeros(2)
+        seen, seen_top, seen_bias = np.full(SLOTS, GROUND, np.float32), GROUND, GROUND
+        for share in shares:
+            word, times, first = self.bagged(vectors @ (softmax[1] - softmax[0]), share)
+            held, size = np.diff(first), np.diff(np.concatenate(([0], np.cumsum(times)))[first])
+            some = docs[size[docs] > 0]
             for part in np.array_split(rng.permutation(some), max(1, len(some) // BATCH)):
-                sizes = self.counts[lead[part]]
-                flat = self.slots[K.ranges(self.begin[lead[part]], sizes)]
-                of = np.repeat(np.arange(len(part)), sizes)
-                mean = np.add.reduceat(vectors[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-                scores = mean @ softmax.T + bias
-                chance = 1 / (1 + np.exp(np.clip(scores[:, 0] - scores[:, 1], -30, 30)))
-                error = ((chance - self.y[part]) * weight[part]).astype(np.float32)  # of the second class; less it of the first
-                grad = (error[:, None] * (softmax[1] - softmax[0])[None, :] / sizes[:, None])[of]
-                np.add.at(seen, flat, (grad * grad).sum(1))
-                np.subtract.at(vectors, flat, 0.05 * grad / np.sqrt(seen[flat])[:, None])
-                turn = (error[:, None] * mean).mean(0)
-                seen_top += float((turn * turn).sum())
-                softmax[1] -= 0.02 * turn / np.sqrt(seen_top)
-                softmax[0] += 0.02 * turn / np.sqrt(seen_top)
-                bias += np.array([1, -1], np.float32) * 0.02 * error.mean()
+                if not len(part):
+                    continue
+                mine = K.ranges(first[part], held[part])
+                owner = np.repeat(np.arange(len(part)), held[part])
+                share_of = times[mine] / np.repeat(size[part], held[part])
+                words, back = np.unique(word[mine], return_inverse=True)
+                counts = self.counts[words]
+                flat = self.slots[K.ranges(self.begin[words], counts)]
+                across = softmax[1] - softmax[0]
+                read = np.add.reduceat(vectors[flat] @ across, np.cumsum(counts) - counts) / counts
+                z = np.bincount(owner, read[back] * share_of, len(part)) + bias[1] - bias[0]
+                # The error of the second class; that of the first is less it.
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y[part]) * weight[part]
+                # It reaches a slot through every word that has it, so a slot's gradient is a number times the softmax.
+                through = np.bincount(back, error[owner] * share_of, len(words)) / counts
+                pull = np.bincount(flat, np.repeat(through, counts), SLOTS)
+                at = np.flatnonzero(pull)
+                pull = pull[at].astype(np.float32)
+                turn = pull @ vectors[at] / len(part)
+                seen[at] += pull * pull * float(across @ across)
+                vectors[at] -= (RATE * pull / np.sqrt(seen[at]))[:, None] * across
+                seen_top += float(turn @ turn)
+                softmax += 0.02 * np.stack((turn, -turn)) / np.sqrt(seen_top)
+                mean = error.mean()
+                seen_bias += mean * mean
+                bias += 0.05 * np.array([mean, -mean]) / np.sqrt(seen_bias)
         return (vectors @ (softmax[1] - softmax[0])).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 42) -> tuple[np.ndarray, float]:
+def _top(doc: np.ndarray, word: np.ndarray, times: np.ndarray, z: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (text, word, times) in the order of texts, those that make up each
+    text's highest share of words by *z*: words, times, and where each text's
+    begin.  Of the last word only as many times as are needed count."""
+    order = np.lexsort((word, -z, doc))
+    doc, word, times = doc[order], word[order], times[order]
+    held = np.bincount(doc, times, n).astype(np.int64)
+    before = np.cumsum(times) - times - (np.cumsum(held) - held)[doc]
+    most = np.maximum(LEAST, np.ceil(share * held)).astype(np.int64)
+    times = np.minimum(times, most[doc] - before)
+    kept = times > 0
+    return word[kept], times[kept], np.searchsorted(doc[kept], np.arange(n + 1))
+
+
+def _means(values: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total, size = (np.concatenate(([0], np.cumsum(x)))[first] for x in (values * times, times))
+    size = np.diff(size)
+    return np.where(size > 0, np.diff(total) / np.maximum(size, 1), -np.inf)
+
+
+def fit(texts: list[str], labels: np.ndarray, shares=SHARES, seed: int = 42) -> tuple[np.ndarray, float]:
     """Slot weights and bias from texts and 0/1 labels.  The last scale and bias
-    come from documents that the vectors weren't trained on, by halves.  With
-    fewer than four texts of either class, all weights are 0 and the bias is
+    come from a fifth of the texts, which the vectors aren't trained on.  With
+    fewer than five texts of either class, all weights are 0 and the bias is
     that of the share of label 1."""
     y = np.asarray(labels, float)
     share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
-    if min((y == 0).sum(), (y == 1).sum()) < 4:
+    if min((y == 0).sum(), (y == 1).sum()) < 5:
         return np.zeros(SLOTS, np.float32), float(np.log(share / (1 - share)))
     rng, sample = np.random.default_rng(seed), _Sample(texts, y)
-    half = np.zeros(len(y), bool)
+    unseen = np.zeros(len(y), bool)
     for label in (0, 1):
-        half[np.flatnonzero(y == label)[::2]] = True
-    unseen = np.full(len(y), -np.inf)
-    for train in (half, ~half):
-        reading = sample.train(np.flatnonzero(train), epochs, rng)
-        unseen[~train] = sample.leads(reading)[1][~train]
-    have = np.isfinite(unseen)
-    z, t = unseen[have], y[have]
-    slope, bias = 1.0, -float(np.median(z))
-    for _ in range(200):  # logistic regression of one variable, with a weak pull of the slope to 1
+        unseen[np.flatnonzero(y == label)[::5]] = True
+    reading = sample.train(np.flatnonzero(~unseen), shares, rng)
+    logit = sample.logits(reading)
+    have = unseen & np.isfinite(logit)
+    z, t = logit[have], y[have]
+    slope, bias = 1.0, -float(np.median(z)) if len(z) else 0.0
+    for _ in range(200 if len(z) else 0):  # logistic regression of one variable, with a weak pull of the slope to 1
         p = 1 / (1 + np.exp(-np.clip(slope * z + bias, -30, 30)))
         g = np.array([((p - t) * z).mean() + 1e-3 * (slope - 1), (p - t).mean()])
         v = p * (1 - p) + 1e-6
         h = np.array([[(v * z * z).mean() + 1e-3, (v * z).mean()], [(v * z).mean(), v.mean() + 1e-6]])
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
-        slope, bias = max(slope - step[0], 0.1), bias - step[1]
-    return sample.train(np.arange(len(y)), epochs, rng) * np.float32(slope), bias
+        slope, bias = max(slope - step[0], 0.02), bias - step[1]
+    return reading * np.float32(slope), bias
 
 
 def logits(weights: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The largest passage logit of each text of a block, without the bias;
+    """What is read from the average of each text of a block, without the bias;
     minus infinity for texts without words."""
-    out = np.full(len(offsets) - 1, -np.inf)
-    words, chosen, back = _distinct(raw, offsets)
-    if len(chosen):
-        slots, counts = bags(words, chosen)
-        mean = np.add.reduceat(weights[slots].astype(np.float64), np.cumsum(counts) - counts) / counts
-        np.maximum.at(out, words.owner(), mean[back])
-    return out
+    words, chosen, doc, word, times = _distinct(raw, offsets)
+    if not len(chosen):
+        return np.full(len(offsets) - 1, -np.inf)
+    slots, counts = bags(words, chosen)
+    read = np.add.reduceat(weights[slots].astype(np.float64), np.cumsum(counts) - counts) / counts
+    word, times, first = _top(doc, word, times, read[word], len(offsets) - 1, SCORED)
+    return _means(read[word], times, first)
 
 
 def score(model: tuple[np.ndarray, float], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

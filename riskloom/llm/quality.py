@@ -123,6 +123,8 @@ def scores(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     shaped = keep(docs.mapInArrow(run, "doc_id bigint, x array<double>"), "quality-features")
     out_fold = fold(F.col("doc_id"), folds) == held_out
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~out_fold).distinct()
+    # Only ids that *df* holds can be learnt from.
+    known = known.join(shaped.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
     rows = shaped.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").toPandas()
     model = fit(np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES)), rows["y"].to_numpy())

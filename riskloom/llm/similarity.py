@@ -244,6 +244,21 @@ def _links(percent: int):
     return run
 
 
+def frequent(counts: DataFrame) -> np.ndarray:
+    """The most frequent n-grams of (token, count) rows, rarer ones first: as
+    many whole steps of frequency as hold KNOWN n-grams at most."""
+    counts = keep(counts.groupBy("token").agg(F.sum("count").alias("count")), "similarity-counts")
+    step = F.floor(F.log2("count") * 8).cast("int")
+    held, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # a few hundred steps
+        held += r.n
+        if held > KNOWN:
+            break
+        least = r.step
+    rows = counts.filter(step >= least).toPandas().sort_values(["count", "token"])
+    return rows["token"].to_numpy(np.int64).view(np.uint64)
+
+
 def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of *df*.
 
@@ -257,8 +272,7 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     survey = keep(docs.mapInArrow(_survey(shingle), "doc bigint, n bigint, k1 bigint, k2 bigint, token bigint, count bigint"), "similarity-survey")
-    often = survey.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN).toPandas()
-    often = often.sort_values(["count", "token"])["token"].to_numpy().view(np.uint64)
+    often = frequent(survey.filter("token is not null"))
     place = np.argsort(often)
     sent = spark.sparkContext.broadcast((often[place], place.astype(np.uint64)))
     base = survey.filter("token is null").select("doc", "n", "k1", "k2")

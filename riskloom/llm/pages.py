@@ -1,28 +1,30 @@
 """Main text of web pages by wrapper induction (operator 7).
 
-Pages of one host share a template.  Each page's DOM tree is aligned with a few
-reference pages of its host by simple tree matching (Yang, 1991).  Text that
-stands at the same node in the page and in enough references, of those that are
-laid out like the page or of all, is template; slots that vary are content.  Within the slots, elements that by their name, role or
-class hold menus, headers, footers, side bars, notices, adverts, forms or
-comments are not main text.  Where a page marks its article, that is the slot
-taken, whole.
+Pages of one host share a template.  DOM trees of pages of a host, its
+references, are aligned by simple tree matching (Yang, 1991): a text that stands
+at the same node in enough of them is template, the other slots are content.
+A page is aligned with the layouts of its host in turn, and what its nodes hold
+of their template goes.  Of the rest, elements that by their name, role or class
+hold menus, headers, footers, side bars, notices, adverts, forms or comments are
+not main text.  Where a page marks its article, that is the slot taken; within
+it only what all articles of the host share, of those that differ, is template.
 
 References are compact (tags and text hashes) and differ from each other: a few
-of each layout, layouts of many pages first, at most sixteen a host.  While those
-of all hosts fit a stated bound they go to the pages, which stay where they lie;
-beyond it both meet in a join on the host whose large keys adaptive execution
-can split.  No task ever holds the pages of a host, and results are the same.
+of each layout, layouts of many pages first.  A host's template is a few numbers
+for each layout.  While those of all hosts fit a stated bound they go to the
+pages, which stay where they lie; beyond it both meet in a join on the host whose
+large keys adaptive execution can split.  No task ever holds the pages of a host,
+and results are the same.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,20 @@ from pyspark.sql import functions as F
 
 from .shared import keep
 
-#: References of a layout, besides the page itself if it is one, and of a host.
-REFERENCES = 4
-MOST = 16
-#: Bytes of all hosts' references up to which they are broadcast.
+#: References of a layout, and of a host.
+REFERENCES = 12
+MOST = 48
+#: Bytes of all hosts' templates, or of the list of references, up to which they are broadcast.
 SENT_BYTES = 32 << 20
-#: References that must agree before text counts as template, and their share.
-AGREE = 3
+#: Pages that must agree before text counts as template, and their share.
+AGREE = 4
 SHARE = 0.5
 #: Share of both trees' nodes that match where two pages are laid out alike.
 ALIKE = 0.7
+#: Share of its texts with which an article counts as a copy of another.
+COPY = 0.5
+#: Layouts that a worker remembers the template of.
+KNOWN = 20_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -76,10 +82,12 @@ MAIN_WORDS = frozenset("articlebody".split())
 
 
 class Node:
-    __slots__ = ("tag", "children", "aside", "main", "texts", "shape")
+    __slots__ = ("tag", "children", "aside", "main", "texts", "beside", "marked")
 
     def __init__(self, tag: str, aside: bool = False, main: bool = False):
         self.tag, self.aside, self.main = tag, aside, main
+        #: Beside the main text, and within a marked article, by all elements around it.
+        self.beside = self.marked = False
         self.children: list = []  # nodes and strings
 
 
@@ -104,50 +112,76 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return aside, main
 
 
+class _Open:
+    """The elements that are open, and where the open ones of each tag are, so
+    that no end tag has to be looked for among all of them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    def add(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of these tags is; 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first(self, tags, behind: int) -> int:
+        """Where the outermost one behind a place is; 0 without one."""
+        found = []
+        for t in tags:
+            places = self.at.get(t, ())
+            k = bisect.bisect_right(places, behind)
+            if k < len(places):
+                found.append(places[k])
+        return min(found, default=0)
+
+
 def parse(source: str) -> Node:
     """The tree of a page.  Forgiving: every end that is missing is supplied,
-    every one too many is passed over."""
+    every one too many is passed over.  Its time grows with the page's length."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(source)
+    open_, at, n = _Open(root), 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            stack[-1].children.append(source[at:])
+            open_.stack[-1].children.append(source[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
+            open_.stack[-1].children.append(source[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1] or m[4]:  # an end
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:  # inline ends don't end blocks
-                    break
+        block = open_.blocks[-1] if open_.blocks else 0
+        if m[1] or m[4]:  # an end; inline ones don't end blocks
+            k = open_.last((tag,))
+            if k and (tag in BLOCK or k > block):
+                open_.cut(k)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in CLOSES_P and block and open_.stack[block].tag == "p":
+            open_.cut(block)
         if tag in ENDS:
             ended, limit = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in limit:
-                    break
-                if stack[k].tag in ended:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody"):
-                        break
+            border = open_.last(limit)
+            k = open_.first(ended, border) if tag in ("tr", "tbody") else open_.last(ended)
+            if k > border:
+                open_.cut(k)
         attributes = m[3] if m[3] is not None else m[6] or ""
         node = Node(tag, *_marks(tag, attributes))
-        stack[-1].children.append(node)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             close = end.start() if end else n
@@ -157,7 +191,7 @@ def parse(source: str) -> Node:
             if end:
                 at = source.find(">", end.start()) + 1 or n
         elif tag not in VOID and not attributes.endswith("/") or tag in BLOCK and tag not in VOID:
-            stack.append(node)
+            open_.add(node)
     return root
 
 
@@ -172,7 +206,7 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip(" ")
         run.clear()
         if text:
-            node.texts.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+            node.texts.append(_hash(text))
             out.append((node, text))
 
     # Walk without recursion: pages may nest without end.
@@ -219,7 +253,8 @@ _BORDER.texts = []
 def skeleton(root: Node) -> list:
     """The whole tree below *root* as [tag, parent's place, text hashes] in page
     order, where neighbouring children with the same tags below are one, with
-    the texts of all.  Without recursion: pages may nest without end."""
+    the texts of all.  A tag within a marked article has a star.  Without
+    recursion: pages may nest without end."""
     shapes: dict = {}
     done: dict[int, list] = {}  # element: [tag, texts, children, shape]
     stack = [(root, False)]
@@ -239,8 +274,9 @@ def skeleton(root: Node) -> list:
                 _absorb(children[-1], sub)
             else:
                 children.append(sub)
-        shape = shapes.setdefault((node.tag, *(c[3] for c in children)), len(shapes))
-        done[id(node)] = [node.tag, list(getattr(node, "texts", ())), children, shape]
+        tag = node.tag + "*" if node.marked and not node.beside else node.tag
+        shape = shapes.setdefault((tag, *(c[3] for c in children)), len(shapes))
+        done[id(node)] = [tag, list(getattr(node, "texts", ())), children, shape]
     out: list = []
     flat = [(done[id(root)], -1)]
     while flat:
@@ -349,13 +385,12 @@ class Matching:
             cut = int(np.argmax(ahead + behind))
             stack += [(left[:half], right[:cut]), (left[half:], right[cut:])]
 
-    def constants(self) -> set[int]:
-        """Hashes of texts that stand at matched nodes of both trees."""
-        found: set[int] = set()
+    def nodes(self):
+        """The matched nodes of both trees, as pairs."""
         pairs = [(0, 0)] if self.total else []
         while pairs:
             i, j = pairs.pop()
-            found.update(set(self.a.texts[i]).intersection(self.b.texts[j]))
+            yield i, j
             same, left, right = self.differing(i, j)
             if left and right:
                 for c in {self.a.shape[c]: c for c in left}.values():
@@ -363,57 +398,140 @@ class Matching:
                         self.size(c, d)
             pairs += same
             pairs.extend(self.pairs_of(left, right))
-        return found
+
+    @property
+    def likeness(self) -> float:
+        """The share of both trees' nodes that match."""
+        return 2 * self.total / (len(self.a.tags) + len(self.b.tags))
 
 
-def _outside_aside(root: Node, found: list[tuple[Node, str]]) -> list[tuple[bool, str]]:
-    """Whether the article is marked around it, and the text, of each block not beside the main text."""
-    inside: dict[int, tuple[bool, bool]] = {id(root): (False, False)}
+def mark(root: Node) -> None:
+    """Sets for each element whether it is beside the main text, and whether the
+    article is marked around it."""
     stack = [root]
     while stack:
         node = stack.pop()
-        aside, main = inside[id(node)]
         for child in node.children:
             if not isinstance(child, (str, _Border)):
                 # An article's own header is a part of it.
-                beside = child.aside and not (main and child.tag == "header")
-                inside[id(child)] = (aside or beside, main or (child.main and not aside))
+                child.beside = node.beside or child.aside and not (node.marked and child.tag == "header")
+                child.marked = node.marked or child.main and not node.beside
                 stack.append(child)
-    return [(inside[id(n)][1], t) for n, t in found if not inside[id(n)][0]]
-
 
-def agreed(shared: list[tuple[float, set[int]]]) -> set[int]:
-    """The texts that stand in enough references, of those like the page or of
-    all; given as (likeness, texts shared with the page)."""
-    template: set[int] = set()
-    for group in ([t for like, t in shared if like >= ALIKE], [t for _, t in shared]):
-        counts = Counter(h for texts in group for h in texts)
-        template.update(h for h, n in counts.items() if n >= max(AGREE, SHARE * len(group)))
-    return template
 
-
-def extract(source: str | None, references: list[str] | None) -> str:
-    """The main text of a page, given the skeletons of its host's references."""
+def read(source: str) -> tuple[Node, list[tuple[Node, str]]]:
+    """The marked tree of a page and its blocks of text."""
+    root = parse(source)
+    mark(root)
+    return root, blocks(root)
+
+
+def layout_of(rows: list) -> tuple:
+    return tuple((r[0], r[1]) for r in rows)
+
+
+def induce(references: list[str]) -> list:
+    """The template of a host from skeletons of its pages, as JSON: for each of
+    their layouts the layout itself and, by node, the hashes of texts that are
+    template.  Empty where none is.
+
+    Outside of marked articles, text is template that AGREE pages or more hold
+    at one node, and a SHARE of those laid out alike or of all.  Within, it is
+    what all pages hold there, AGREE at least, of which no article is a copy of
+    another's.  Pages that are equal count once."""
+    trees = [json.loads(x) for x in sorted(set(references))]
+    if len(trees) < AGREE:
+        return []
+    layouts: dict[tuple, list[int]] = {}
+    for n, rows in enumerate(trees):
+        layouts.setdefault(layout_of(rows), []).append(n)
+    articles = [{h for r in rows if r[0][-1] == "*" for h in r[2]} for rows in trees]
+    differing: list[int] = []
+    for n, own in enumerate(articles):
+        if own and all(len(own & articles[m]) <= COPY * min(len(own), len(articles[m])) for m in differing):
+            differing.append(n)
+    shapes: dict = {}
+    shaped = {layout: Tree([[*r, ()] for r in layout], shapes) for layout in layouts}
+    out = []
+    for layout, tree in shaped.items():
+        held: dict[tuple[int, int], set[int]] = {}  # pages by node of this layout and text
+        alike: set[int] = set()
+        for other, members in layouts.items():
+            matching = Matching(tree, shaped[other])
+            if matching.likeness >= ALIKE:
+                alike.update(members)
+            for i, j in matching.nodes():
+                for n in members:
+                    for h in set(trees[n][j][2]):
+                        held.setdefault((i, h), set()).add(n)
+        texts: dict[int, list[int]] = {}
+        for (i, h), pages in held.items():
+            if layout[i][0][-1] == "*":
+                template = len(differing) >= AGREE and pages.issuperset(differing)
+            else:
+                template = any(len(pages & group) >= max(AGREE, SHARE * len(group)) for group in (alike, set(range(len(trees)))))
+            if template:
+                texts.setdefault(i, []).append(h)
+        out.append([layout, {i: sorted(t) for i, t in texts.items()}])
+    return out if any(texts for _, texts in out) else []
+
+
+class Template:
+    """A host's template, as its pages use it."""
+
+    def __init__(self, induced: str):
+        self.shapes: dict = {}
+        self.layouts = []
+        for rows, texts in json.loads(induced):
+            self.layouts.append((tuple(map(tuple, rows)), Tree([[*r, ()] for r in rows], self.shapes), {int(i): frozenset(t) for i, t in texts.items()}))
+        #: Whether it says anything of marked articles.
+        self.marked = any(layout[i][0][-1] == "*" for layout, _, texts in self.layouts for i in texts)
+        self.known: dict[tuple, dict[int, frozenset]] = {}
+
+    def texts(self, layout: tuple) -> dict[int, frozenset]:
+        """By node of a page's layout, the hashes that are template: those of
+        its own layout, or of all that it is aligned with."""
+        got = self.known.get(layout)
+        if got is None:
+            own = [t for known, _, t in self.layouts if known == layout]
+            if own:
+                got = own[0]
+            else:
+                merged: dict[int, set] = {}
+                tree = Tree([[*r, ()] for r in layout], self.shapes)
+                for _, other, texts in self.layouts:
+                    if texts:
+                        for i, j in Matching(tree, other).nodes():
+                            if j in texts:
+                                merged.setdefault(i, set()).update(texts[j])
+                got = {i: frozenset(t) for i, t in merged.items()}
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[layout] = got
+        return got
+
+
+def extract(source: str | None, template: Template | None = None) -> str:
+    """The main text of a page, given the template of its host."""
     if not source:
         return ""
-    root = parse(source)
-    found = blocks(root)
-    good = _outside_aside(root, found)
-    if any(main for main, _ in good):
-        # A marked article is taken whole: copies of an article at one host don't make it template.
-        return "\n".join(t for main, t in good if main)
-    template: set[int] = set()
-    if references and good:
-        own = skeleton(root)
-        others = [r for r in (json.loads(x) for x in references) if r != own]
-        # References that are copies of each other count once.
-        distinct = list({json.dumps(r): r for r in others}.values())
-        if len(distinct) >= AGREE:
-            shapes: dict = {}
-            tree = Tree(own, shapes)
-            matchings = [Matching(tree, Tree(r, shapes)) for r in distinct]
-            template = agreed([(2 * m.total / (len(m.a.tags) + len(m.b.tags)), m.constants()) for m in matchings])
-    return "\n".join(t for _, t in good if zlib.crc32(t.encode("utf-8", "surrogatepass")) not in template)
+    root, found = read(source)
+    good = [(node.marked, text) for node, text in found if not node.beside]
+    marked = any(main for main, _ in good)
+    if marked:
+        good = [(main, text) for main, text in good if main]
+    if not good or template is None or marked and not template.marked:
+        return "\n".join(text for _, text in good)
+    rows = skeleton(root)
+    texts = template.texts(layout_of(rows))
+    gone = {h for i, hashes in texts.items() if (rows[i][0][-1] == "*") == marked for h in hashes.intersection(rows[i][2])}
+    left = [text for _, text in good if _hash(text) not in gone]
+    # An article of nothing but template is the article.
+    return "\n".join(left if left or not marked else [text for _, text in good])
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def host_of(url):
@@ -425,56 +543,79 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     """page_id, url, text, n_chars (code points) for every row of *df*.
 
     Null and empty pages, and pages without main text, have the empty text.
-    Pages without a host, or of a host with fewer than three pages that differ
-    from it and from each other, are extracted without a template.  Repeated rows give repeated results.  Other
-    columns, whatever their names, are neither read nor returned.
+    Pages without a host, or of a host with fewer than four pages that differ,
+    are extracted without a template.  Repeated rows give repeated results.
+    Bytes that are no UTF-8 read as U+FFFD.  An empty table gives an empty
+    result; other columns, whatever their names, are neither read nor returned.
     """
     pages = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
 
     def survey(batches):
         for batch in batches:
-            keys = [_keys(_sketched(h)) for h in batch.column(2).to_pylist()]
+            keys = [_keys(_sketched(h)) for h in _strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], ["page_id", "host", "layout", "key"])
 
     def sketch(batches):
         for batch in batches:
-            trees = [_sketched(h) for h in batch.column(2).to_pylist()]
+            trees = [_sketched(h) for h in _strings(batch.column(2))]
             same = [_keys(t)[1] == k for t, k in zip(trees, batch.column(3).to_pylist())]  # ids may repeat
             out = [json.dumps(t, separators=(",", ":")) if s else None for t, s in zip(trees, same)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], ["host", "skeleton"])
 
+    def induction(batches):
+        for batch in batches:
+            found = [induce(x) for x in batch.column(1).to_pylist()]
+            out = pa.array([json.dumps(x, separators=(",", ":")) if x else None for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["host", "template"])
+
     # The references of a host: pages that differ, by rank within their layout, the layouts of most pages first.
     usable = pages.filter("host <> '' and html <> '' and page_id is not null").select("page_id", "host", "html")
     differing = usable.mapInArrow(survey, "page_id bigint, host string, layout bigint, key bigint").groupBy("host", "layout", "key").agg(F.min("page_id").alias("page_id"))
     differing = keep(differing, "pages-skeletons")
     held = differing.groupBy("host", "layout").agg(F.count("*").alias("held"))
-    first = differing.withColumn("place", F.row_number().over(Window.partitionBy("host", "layout").orderBy("page_id", "key"))).filter(F.col("place") <= references + 1)
+    # The first of each layout by a minimum with partial sums, in classes of the key, before any window sees a host.
+    classes = differing.groupBy("host", "layout", F.pmod("key", F.lit(16 * references)).alias("class")).agg(F.min(F.struct("page_id", "key")).alias("one"))
+    first = classes.select("host", "layout", "one.*").withColumn("place", F.row_number().over(Window.partitionBy("host", "layout").orderBy("page_id", "key"))).filter(F.col("place") <= references)
     order = Window.partitionBy("host").orderBy(F.desc("held"), "layout", "place")
     first = first.join(held, ["host", "layout"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    # Written, so that the join knows how small it is.
     chosen = keep(first.select("page_id", "host", "key"), "pages-chosen")
+    chosen = _small(chosen, chosen.agg(F.sum(F.octet_length("host") + 32)).first()[0], sent_bytes)
     refs = usable.join(chosen, ["page_id", "host"]).select("page_id", "host", "html", "key").mapInArrow(sketch, "host string, skeleton string").filter("skeleton is not null")
-    refs = refs.groupBy("host").agg(F.sort_array(F.collect_set("skeleton")).alias("refs")).select(F.col("host").alias("_host"), "refs")
-    refs = keep(refs, "pages-references")
-    size = refs.agg(F.sum(F.octet_length("_host") + F.octet_length(F.array_join("refs", "")))).first()[0] or 0
-    refs = F.broadcast(refs) if size <= sent_bytes else refs
+    refs = refs.groupBy("host").agg(F.collect_set("skeleton").alias("refs")).mapInArrow(induction, "host string, template string").filter("template is not null")
+    refs = keep(refs.withColumnRenamed("host", "_host"), "pages-templates")
+    refs = _small(refs, refs.agg(F.sum(F.octet_length("_host") + F.octet_length("template"))).first()[0], sent_bytes)
 
     def run(batches):
+        templates: dict[str, Template] = {}
         for batch in batches:
-            texts = [extract(h, r) for h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for source, induced in zip(_strings(batch.column(2)), batch.column(3).to_pylist()):
+                if induced is not None and induced not in templates:
+                    if len(templates) >= 256:
+                        templates.clear()
+                    templates[induced] = Template(induced)
+                texts.append(extract(source, templates.get(induced)))
             sizes = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes)], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(refs, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "refs")
+    joined = pages.join(refs, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
+def _small(df: DataFrame, size: int | None, most: int) -> DataFrame:
+    """*df*, to be broadcast if it has *most* bytes at most."""
+    return F.broadcast(df) if (size or 0) <= most else df
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """The texts of a column, null as empty, without regard to faulty bytes."""
+    return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _keys(rows: list) -> tuple[int, int]:
     """Hashes of a skeleton's layout and of all of it."""
     return tuple(int.from_bytes(hashlib.blake2b(json.dumps(x).encode(), digest_size=8).digest(), "little", signed=True) for x in ([r[:2] for r in rows], rows))
 
 
 def _sketched(source: str) -> list:
-    root = parse(source)
-    blocks(root)
-    return skeleton(root)
+    return skeleton(read(source)[0])

@@ -204,13 +204,16 @@ def test_decontamination_by_short_items_and_null_ids(spark):
     assert sorted(r.doc_id for r in decontaminate.remove(df, bench).collect()) == [1, 2, 5, 6, 7, 9]
 
 
+def template(sources):
+    return pages.Template(pages.json.dumps(pages.induce([pages.json.dumps(pages._sketched(x)) for x in sources])))
+
+
 def test_pages():
     page = "<!DOCTYPE html><title>t</title><nav><a>M</a></nav><div class='ad'>buy</div><header>H</header><article><h1>T &amp; é</h1><p>one <b>two\n three<p>four<ul><li>a<li>b</ul><script>if(a<b){'</p>'}</script></article><div id=comments><p>c</p></div><footer>f"
     assert pages.extract(page, None) == "T & é\none two three\nfour\na\nb"
     assert pages.extract(None, None) == pages.extract("", None) == ""
     wrapped = [f"<body><div><div>Site name</div><div>{x} text {x}</div><div>All rights</div></div>" for x in "abcde"]
-    refs = [pages.json.dumps(pages._sketched(w)) for w in wrapped[1:]]
-    assert pages.extract(wrapped[0], refs) == "a text a"
+    assert pages.extract(wrapped[0], template(wrapped[1:])) == "a text a"
 
 
 def test_pages_query(spark):
@@ -235,8 +238,7 @@ def test_pages_template(spark, sent_bytes):
 def test_pages_template_of_long_pages(body):
     """Template behind more elements than any fixed count is aligned, too."""
     wrapped = [f"<body><div><div>Site name</div><section>{body(c)}</section><table><tr><td>All rights</table></div>" for c in "abcde"]
-    refs = [pages.json.dumps(pages._sketched(w)) for w in wrapped[1:]]
-    got = pages.extract(wrapped[0], refs).split("\n")
+    got = pages.extract(wrapped[0], template(wrapped[1:])).split("\n")
     assert got == [t for _, t in pages.blocks(pages.parse(f"<body>{body('a')}"))]
 
 
@@ -266,8 +268,6 @@ def test_tree_matching_by_brute_force():
     for _ in range(150):
         shapes: dict = {}
         a, b = (pages.Tree(pages._sketched(tree(3)), shapes) for _ in range(2))
-        for t in (a, b):  # a text of its own for each node, so that found texts are the matched pairs
-            t.texts = [[i] for i in range(len(t.tags))]
         memo: dict = {}
 
         def most(i, j):
@@ -283,8 +283,9 @@ def test_tree_matching_by_brute_force():
 
         matching = pages.Matching(a, b)
         assert matching.total == most(0, 0)
-        b.texts = [list(range(len(a.tags))) for _ in b.tags]
-        assert len(matching.constants()) == matching.total
+        pairs = list(matching.nodes())
+        assert len(pairs) == matching.total == len({i for i, _ in pairs}) == len({j for _, j in pairs})
+        assert all(a.tags[i] == b.tags[j] for i, j in pairs)
 
 
 @pytest.mark.parametrize("which", ["quality", "toxic"])

@@ -137,8 +137,9 @@ class Items:
             if not len(near):
                 continue
             a, b = np.searchsorted(text, (t, t + 1))
+            order = np.argsort(value[a:b], kind="stable") + a
             for k in near.tolist():
-                for begin, end in self.places(k, where[a:b] - low, value[a:b], high - low):
+                for begin, end in self.places(k, where[order] - low, value[order], high - low):
                     for x, y, edits in self.verify(k, folded[low + begin : low + end]):
                         x, y = low + begin + x, low + begin + y
                         yield t, k, int(place[x]), int(place[y - 1]) + 1, edits
@@ -192,17 +193,15 @@ class Items:
 
     def places(self, k: int, where: np.ndarray, value: np.ndarray, length: int) -> list[tuple[int, int]]:
         """The parts of a text, apart from each other, that hold all occurrences
-        of item k; *where* its known q-grams stand, with their values."""
+        of item k; *where* its known q-grams stand, by their ascending values."""
         size, most, step = int(self.size[k]), int(self.edits[k]), int(self.step[k])
         at, mine = grams(self.texts[k], np.array([0, size]))
-        order = np.argsort(mine, kind="stable")
-        at, mine = at[order], mine[order]
-        low, high = np.searchsorted(mine, value), np.searchsorted(mine, value, "right")
-        counts = high - low
+        low = np.searchsorted(value, mine)
+        counts = np.searchsorted(value, mine, "right") - low
         if counts.sum() > HITS:  # both repeat themselves all over
             return [(0, length)]
-        within = at[K.ranges(low, counts)]
-        band = (np.repeat(where, counts) - within + size) // step  # the diagonal is 0 at least
+        within = np.repeat(at, counts)
+        band = (where[K.ranges(low, counts)] - within + size) // step  # the diagonal is 0 at least
         # Each hit is in two bands: band b holds the diagonals from b to b + 2 steps; a place of the item counts once in a band.
         keys = (band + 1) * size + within
         keys = np.unique(np.concatenate((keys, keys - size)))

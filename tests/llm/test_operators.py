@@ -69,11 +69,11 @@ def test_entropy_by_counting(spark):
     import math
 
     value = "q1w2e3r4t5y6u7i8o9p0aabbccddeeffgghh"
-    classes = secrets.CLASSES[1]
+    c = secrets.CLASSES[1]
     want = []
     for i in range(len(value) - 19):
         w = value[i : i + 20]
-        if -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) >= classes[3] - 1e-9:
+        if -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) >= c.threshold - 1e-9:
             if want and i <= want[-1][1]:
                 want[-1][1] = i + 20
             else:
@@ -81,7 +81,7 @@ def test_entropy_by_counting(spark):
     df = spark.createDataFrame([(value,)], "v string")
     from pyspark.sql import functions as F
 
-    got = df.select(secrets.entropy_spans(secrets.letter_codes(F.col("v"), classes[2]), 20, classes[2], classes[3])).first()[0]
+    got = df.select(secrets.entropy_spans(secrets.letter_codes(F.col("v"), c.alphabet), 20, c.alphabet, c.threshold)).first()[0]
     assert [[s.start, s.end] for s in got] == want and want
 
 

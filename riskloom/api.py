@@ -24,18 +24,25 @@ class Options:
     features: list[str] = field(default_factory=list)
     all_features: bool = False
     no_default_features: bool = False
+    allowance: str = static.ALLOWANCE
+    label: str = R.LABEL
 
 
-def analyze_static(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def analyze_static(sources: DataFrame, allowance: str = static.ALLOWANCE) -> tuple[DataFrame, DataFrame]:
     """(functions, idioms) of source rows (file, content).  The nodes are kept in
     memory and on disk between the relations; executors that are lost parse
     their files again."""
-    nodes = static.ast_nodes(sources).persist()
+    nodes = static.ast_nodes(sources, allowance=allowance).persist()
     return static.complexity(nodes), check_duplicates(static.idioms(nodes))
 
 
 def analyze(spark: SparkSession, project: str, dirs: list[str], export: str, options: Options = Options(), strict_identity: bool = False) -> DataFrame:
     """Risk records of a project from its source directories and its exported coverage."""
-    functions, idioms = analyze_static(read_sources(spark, dirs))
+    return tables(spark, project, dirs, export, options, strict_identity)[2]
+
+
+def tables(spark: SparkSession, project: str, dirs: list[str], export: str, options: Options = Options(), strict_identity: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Coverage rows, functions and risk records of a project."""
+    functions, idioms = analyze_static(read_sources(spark, dirs), options.allowance)
     covered = C.function_coverage(C.read_export(spark, export), project)
-    return R.exclude(score(functions, covered, idioms, project, strict_identity), options.exclude_paths, options.exclude_fns)
+    return covered, functions, R.exclude(score(functions, covered, idioms, project, strict_identity), options.exclude_paths, options.exclude_fns)

@@ -9,13 +9,14 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .api import Options, analyze
-from .errors import ArgumentError, RiskError
-from .operators.report import exit_code, report_text
+from .api import Options, tables
+from .errors import ArgumentError, RiskError, translated
+from .functions.scores import duration
+from .operators.report import exit_code, report_text, row_counts
 from .sources import collector
 from .sources.project import detect_package, is_workspace_member, source_dirs
 
-VERSION = "0.1.0"
+VERSION, COMMAND = "0.1.0", "riskloom"
 HELP = """\
 riskloom - change-risk analysis of Rust functions
 
@@ -28,6 +29,8 @@ OPTIONS:
     --features <F>         Features to activate (repeatable)
     --all-features         Activate all features
     --no-default-features  Leave out the default feature
+    --allowance <LINT>     Leave out functions that allow this lint
+    --label <TEXT>         What reports call the score
     --coverage <FILE>      Read this coverage export instead of running the tests
     -h, --help             Print help
     -V, --version          Print version
@@ -35,14 +38,16 @@ OPTIONS:
 
 
 def parse(args: list[str]) -> tuple[str, Options, str | None]:
-    """('run', options, coverage file), 'help' or 'version'; an unknown option asks for help."""
+    """('run', options, coverage file), 'help' or 'version'; an unknown option asks
+    for help.  Called as a sub-command, the first word is the tool's own name."""
     o, export, i = Options(), None, 0
+    args = args[1:] if args[:1] == [COMMAND] else args
 
     def value(flag: str) -> str:
         nonlocal i
         i += 1
         if i >= len(args):
-            raise ArgumentError(f"{flag} requires a value")
+            raise ArgumentError(f"{flag} needs a value behind it")
         return args[i]
 
     while i < len(args):
@@ -51,11 +56,11 @@ def parse(args: list[str]) -> tuple[str, Options, str | None]:
             try:
                 o.threshold = float(value(a))
             except ValueError:
-                raise ArgumentError("invalid threshold value") from None
+                raise ArgumentError(f"--threshold takes a number, not {args[i]!r}") from None
         elif a == "--top":
             v = value(a)
             if not v.removeprefix("+").isdecimal():
-                raise ArgumentError("invalid top value")
+                raise ArgumentError(f"--top takes a whole number, not {v!r}")
             o.top = int(v)
         elif a == "--exclude-path":
             o.exclude_paths.append(value(a))
@@ -69,6 +74,10 @@ def parse(args: list[str]) -> tuple[str, Options, str | None]:
             o.all_features = True
         elif a == "--no-default-features":
             o.no_default_features = True
+        elif a == "--allowance":
+            o.allowance = value(a)
+        elif a == "--label":
+            o.label = value(a)
         elif a == "--coverage":
             export = value(a)
         elif a in ("-h", "--help"):
@@ -88,6 +97,11 @@ def bold(on: bool):
     return lambda kind, c: F.concat(F.lit(f"\x1b[{codes[kind]}m"), c, F.lit("\x1b[0m")) if on else c
 
 
+def say(text: str) -> None:
+    """Progress goes to standard error; the report alone to standard output."""
+    print(text, file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = sys.argv[1:] if argv is None else argv
     try:
@@ -105,13 +119,20 @@ def main(argv: list[str] | None = None) -> int:
         features = {"package": o.package, "features": o.features, "all_features": o.all_features, "no_default_features": o.no_default_features}
         made = None
         if export is None:
+            say("Running the tests with coverage")
             export = made = collector.collect(spark, project, **features)
         try:
             dirs = source_dirs(spark, collector.metadata(project, **features), project, o.package)
-            records = analyze(spark, project, dirs, export, o).persist()
-            print(f"scored {records.count()} functions in {time.time() - began:.3f}s", file=sys.stderr)
-            print(report_text(records, o.threshold, o.top, bold(sys.stderr.isatty())), end="")
-            return exit_code(records, o.threshold)
+            say("Reading source and coverage")
+            with translated():
+                covered, functions, records = tables(spark, project, dirs, export, o)
+                records = records.persist()
+                n = row_counts(covered=covered, functions=functions, records=records).first()
+                took = spark.range(1).select(duration(F.lit(time.time() - began)).alias("took")).first().took
+                say(f"Read {n.covered} functions with coverage, {n.functions} in the source")
+                say(f"Scored {n.records} functions in {took}")
+                print(report_text(records, o.threshold, o.top, bold(sys.stderr.isatty()), o.label), end="")
+                return exit_code(records, o.threshold)
         finally:
             if made:
                 os.remove(made)

@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..errors import BAD_JSON
 from ..functions.scores import saturate, under
 
 
+def _missing(kind: str) -> Column:
+    return F.raise_error(F.lit(f"{BAD_JSON}: a field is missing")).cast(kind)
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """An exported coverage document: filenames and regions, a row a function.
     A document that cannot be decoded, or lacks a field, is an error."""
     raw = spark.read.json(path, schema=S.COVERAGE_EXPORT, multiLine=True, mode="FAILFAST")
 
     data = raw.select(F.posexplode_outer("data").alias("d", "entry"), F.col("data").isNull().alias("_none"))
-    data = data.select("d", F.when(F.col("_none") | F.col("entry.functions").isNull() & F.col("d").isNotNull(), F.raise_error(F.lit("JSON parse error: missing field")).cast("string")).alias("_e"), "entry")
+    data = data.select("d", F.when(F.col("_none") | F.col("entry.functions").isNull() & F.col("d").isNotNull(), _missing("string")).alias("_e"), "entry")
     rows = data.filter("_e is null and entry is not null").select("d", F.posexplode("entry.functions").alias("f", "fn"))
     missing = F.col("fn.filenames").isNull() | F.col("fn.regions").isNull()
     return rows.select(
         F.struct("d", "f").alias("fn_id"),
-        F.when(missing, F.raise_error(F.lit("JSON parse error: missing field")).cast("array<string>")).otherwise(F.col("fn.filenames")).alias("filenames"),
+        F.when(missing, _missing("array<string>")).otherwise(F.col("fn.filenames")).alias("filenames"),
         F.col("fn.regions").alias("regions"),
     )
 
@@ -39,27 +44,41 @@ def code_regions(regions: Column) -> Column:
     return F.filter(regions, lambda r: (F.size(r) >= 5) & ((F.size(r) <= 7) | (F.get(r, 7) == 0)))
 
 
-def line_coverage(rows: DataFrame, key: list[str], start: str = "start_line", end: str = "end_line", hits: str = "hits") -> DataFrame:
-    """key, line_coverage_pct from code regions (key, start, end, hits).
+def line_ranges(rows: DataFrame, keep: list[str], start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """The columns *keep* and each line of a region; regions that end before they start have none."""
+    return rows.filter(F.col(start) <= F.col(end)).select(*keep, F.explode(F.sequence(start, end)).alias("line"))
 
-    A line has the largest count of the regions that cover it; regions that end
-    before they start cover none.  A group without a line has no row here: what
-    it is compared with counts it as fully covered.
-    """
-    lines = rows.filter(F.col(start) <= F.col(end)).select(*key, hits, F.explode(F.sequence(start, end)).alias("line"))
-    per_line = lines.groupBy(*key, "line").agg(F.max(hits).alias("hits"))
-    return per_line.groupBy(*key).agg((F.sum(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)) / F.count("*") * 100.0).alias("line_coverage_pct"))
+
+def line_hits(rows: DataFrame, key: list[str], start: str = "start_line", end: str = "end_line", hits: str = "hits") -> DataFrame:
+    """key, line, hits: each line has the largest count of the regions that cover it."""
+    return line_ranges(rows, [*key, hits], start, end).groupBy(*key, "line").agg(F.max(hits).alias("hits"))
+
+
+def line_coverage(rows: DataFrame, key: list[str], start: str = "start_line", end: str = "end_line", hits: str = "hits") -> DataFrame:
+    """key, line_coverage_pct from code regions (key, start, end, hits), for
+    regions that come as rows.  A group without a line has no row here: what it
+    is compared with counts it as fully covered."""
+    hit = F.sum(F.when(F.col("hits") > 0, 1.0).otherwise(0.0))
+    return line_hits(rows, key, start, end, hits).groupBy(*key).agg((hit / F.count("*") * 100.0).alias("line_coverage_pct"))
 
 
 def line_coverage_in_row(regions: Column) -> Column:
     """The same within one row, without a shuffle: regions of one function are
-    one array, so lines need to be told apart only within it."""
+    one array.  Lines are never listed: a line is covered exactly if a region
+    with a hit covers it, so the lengths of two unions of ranges say it all,
+    whatever line a region claims to end at."""
     code = F.filter(F.transform(code_regions(regions), lambda r: F.struct(saturate(F.get(r, 0)).alias("s"), saturate(F.get(r, 2)).alias("e"), (F.get(r, 4) > 0).alias("hit"))), lambda r: r["s"] <= r["e"])
 
     def lines(rs):
-        return F.array_distinct(F.flatten(F.transform(rs, lambda r: F.sequence(r["s"], r["e"]))))
+        none = F.struct(F.lit(-1).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
+
+        def step(acc, r):
+            more = F.greatest(r["e"] - F.greatest(r["s"], acc["last"] + 1) + 1, F.lit(0).cast("bigint"))
+            return F.struct(F.greatest(acc["last"], r["e"]).alias("last"), (acc["n"] + more).alias("n"))
+
+        return F.aggregate(F.array_sort(rs), none, step, lambda acc: acc["n"])
 
-    total, covered = F.size(lines(code)), F.size(lines(F.filter(code, lambda r: r["hit"])))
+    total, covered = lines(code), lines(F.filter(code, lambda r: r["hit"]))
     return F.when(total > 0, covered.cast("double") / total * 100.0).otherwise(100.0)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..storage import keep
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -19,7 +20,8 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def flag_repeated(rows: DataFrame, key: str, flag: str) -> DataFrame:
     """All rows, with a boolean column *flag*: whether *key* is repeated."""
-    repeated = repeated_keys(rows, key).select(F.col(key).alias("_repeated"))
+    # Written first: the join then deals both sides anew, and adaptive execution can split a key that very many rows share.
+    repeated = keep(repeated_keys(rows, key).select(F.col(key).alias("_repeated")), "repeated")
     return rows.join(repeated, F.col(key) == F.col("_repeated"), "left").withColumn(flag, F.col("_repeated").isNotNull()).drop("_repeated")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import BAD_SOURCE
 from ..functions import scores as X
 from ..session import ship
 
@@ -17,6 +18,8 @@ NODES = (
     "file string, pre bigint, parent bigint, kind string, name string, op string, line bigint, end_line bigint, owners array<bigint>, context string,"
     " emitted boolean, is_free boolean, sig_fp string, ref_type_name string, ret_box_dyn_error boolean, at_top boolean, lit_pattern boolean, casts boolean, macro_empty boolean, parse_error string"
 )
+#: The lint whose allowance takes a function out of the analysis, unless the caller names another.
+ALLOWANCE = "riskloom"
 #: Node kinds that add a branch, besides lazy boolean operators.
 BRANCHES = ("if", "arm", "while", "for", "loop", "try")
 COMPARISONS = ("<", "<=", ">", ">=", "==", "!=", "+", "-", "*", "/", "%")
@@ -24,9 +27,10 @@ COMPARISONS = ("<", "<=", ">", ">=", "==", "!=", "+", "-", "*", "/", "%")
 TOKENS = {"if": "if", "match": "match", "arm": "arm", "while": "while", "for": "for", "loop": "loop", "return": "return", "try": "?", "call": "call", "method_call": "method", "binary": "binop", "unary": "unop", "assign": "assign", "closure": "closure", "let": "let"}
 
 
-def ast_nodes(sources: DataFrame, permissive: bool = False) -> DataFrame:
+def ast_nodes(sources: DataFrame, permissive: bool = False, allowance: str = ALLOWANCE) -> DataFrame:
     """Syntax nodes of (file, content) rows.  A file that cannot be parsed is an
-    error, or with *permissive* one row with parse_error."""
+    error, or with *permissive* one row with parse_error.  Functions that allow
+    the lint *allowance* are left out of the analysis."""
     ship(sources.sparkSession)
 
     def run(batches):
@@ -38,10 +42,10 @@ def ast_nodes(sources: DataFrame, permissive: bool = False) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    got = [r | {"file": file} for r in rows(content or "")]
+                    got = [r | {"file": file} for r in rows(content or "", allowance)]
                 except RustSyntaxError as e:
                     if not permissive:
-                        raise RuntimeError(f"parse error in {file}: {e}") from None
+                        raise RuntimeError(f"{BAD_SOURCE} {file}: {e}") from None
                     got = [{"file": file, "pre": -1, "kind": "error", "owners": [], "parse_error": str(e)}]
                 for i in range(0, len(got), 10_000):
                     yield pa.RecordBatch.from_pylist(got[i : i + 10_000], schema)
@@ -76,10 +80,26 @@ def _order() -> Column:
     return F.concat("file", F.lit("\x00"), F.lpad(F.col("fn").cast("string"), 12, "0")).alias("ord")
 
 
+def literal_matches(nodes: DataFrame) -> DataFrame:
+    """file, pre of each match with two arms or more that are literals."""
+    arms = nodes.filter("kind = 'arm' and lit_pattern").groupBy("file", F.col("parent").alias("pre"))
+    return arms.agg(F.count("*").alias("n")).filter("n >= 2").select("file", "pre")
+
+
+def struct_names(nodes: DataFrame) -> DataFrame:
+    """file, ref_type_name: the structs at the top of each file, each once."""
+    return nodes.filter("kind = 'struct' and at_top").select("file", F.col("name").alias("ref_type_name")).distinct()
+
+
+def method_like(nodes: DataFrame) -> DataFrame:
+    """Free functions whose first parameter refers to a struct of their file."""
+    return function_rows(nodes).filter("is_free").join(struct_names(nodes), ["file", "ref_type_name"], "left_semi")
+
+
 def findings(nodes: DataFrame) -> DataFrame:
     """file, fn, place, rule: every idiom finding; place orders a function's findings."""
     c = F.col
-    literal = nodes.filter("kind = 'arm' and lit_pattern").groupBy("file", c("parent").alias("pre")).agg(F.count("*").alias("n")).filter("n >= 2").select("file", "pre")
+    literal = literal_matches(nodes)
     matches = nodes.filter("kind = 'match'").join(literal, ["file", "pre"], "left_semi").select("file", "pre", "owners", F.array(F.lit("MatchOnLiteral")).alias("rules"))
     call = c("kind").isin("call", "method_call")
     rules = F.array_compact(
@@ -94,8 +114,7 @@ def findings(nodes: DataFrame) -> DataFrame:
     others = nodes.filter(c("kind").isin("binary", "call", "method_call", "macro")).select("file", "pre", "owners", rules.alias("rules")).filter(F.size("rules") > 0)
     body = matches.unionByName(others).select("file", "pre", F.explode("owners").alias("fn"), "rules").select("file", "fn", c("pre").alias("place"), F.explode("rules").alias("rule"))
     fns = function_rows(nodes)
-    structs = nodes.filter("kind = 'struct' and at_top").select("file", c("name").alias("ref_type_name")).distinct()
-    free = fns.filter("is_free").join(structs, ["file", "ref_type_name"], "left_semi").select("file", "fn", F.lit(-2).cast("bigint").alias("place"), F.lit("FreeMethodCandidate").alias("rule"))
+    free = method_like(nodes).select("file", "fn", F.lit(-2).cast("bigint").alias("place"), F.lit("FreeMethodCandidate").alias("rule"))
     boxed = fns.filter("ret_box_dyn_error").select("file", "fn", F.lit(-1).cast("bigint").alias("place"), F.lit("BoxDynError").alias("rule"))
     return body.unionByName(free).unionByName(boxed)
 

@@ -1,8 +1,8 @@
 """Queries over the bundled tables, and the same in SQL.
 
 The tables hold no source code, so columns stand in for it (roles below); the
-operators are those that the analysis of real projects uses.  Parser-based
-queries run on the snippets of :mod:`riskloom.plans.snippets`.
+operators are those that the analysis of real projects uses.  Queries from
+source text on are in :mod:`riskloom.plans.generated`.
 """
 
 from __future__ import annotations
@@ -81,15 +81,15 @@ joined AS (SELECT f.file, f.qualified_name AS name, f.complexity, f.coverage_pct
   coalesce(l.sig_duplicate, false) AS sig_duplicate, coalesce(l.body_duplicate, false) AS body_duplicate FROM firsts f LEFT JOIN lasts l ON f.file = l.file AND f.qualified_name = l.qualified_name AND f.rn = 1 AND l.rl = 1),
 crap AS (SELECT *, CAST(complexity AS DOUBLE) * CAST(complexity AS DOUBLE) * (1.0::double - coverage_pct / 100.0::double) * (1.0::double - coverage_pct / 100.0::double) * (1.0::double - coverage_pct / 100.0::double) + CAST(complexity AS DOUBLE) AS crap_score,
   1.0::double + 0.25::double * CAST(demerits AS DOUBLE) AS idiom_penalty FROM joined),
-records AS (SELECT *, crap_score * idiom_penalty AS crappy_score FROM crap)"""
+records AS (SELECT *, crap_score * idiom_penalty AS risk_score FROM crap)"""
 _CLEAN = "(coverage_pct >= 50 AND complexity < 10 AND idiom_penalty <= 1 AND len(checks) = 0 AND NOT sig_duplicate AND NOT body_duplicate)"
 _CODE = "CASE WHEN coverage_pct < 50 AND complexity >= 10 THEN 'high-risk' WHEN coverage_pct < 50 THEN 'low-coverage' WHEN complexity >= 10 THEN 'high-complexity' WHEN idiom_penalty > 1 THEN 'idiom-violation' ELSE 'risky' END"
-_SHOW = "file, name, complexity, coverage_pct, crap_score, idiom_penalty, crappy_score, start_line, array_to_string(checks, ',') AS checks, sig_duplicate, body_duplicate"
+_SHOW = "file, name, complexity, coverage_pct, crap_score, idiom_penalty, risk_score, start_line, array_to_string(checks, ',') AS checks, sig_duplicate, body_duplicate"
 _REGIONS = """regions AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(minute(ts) AS BIGINT) AS start_line, CAST(minute(ts) AS BIGINT) + CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 - 1 AS end_line, event_id % 3 AS hits FROM events)"""
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select("file", "name", "complexity", "coverage_pct", "crap_score", "idiom_penalty", "crappy_score", "start_line", F.array_join("checks", ",").alias("checks"), "sig_duplicate", "body_duplicate")
+    return rows.select("file", "name", "complexity", "coverage_pct", "crap_score", "idiom_penalty", "risk_score", "start_line", F.array_join("checks", ",").alias("checks"), "sig_duplicate", "body_duplicate")
 
 
 _Q: dict = {}
@@ -117,9 +117,9 @@ def _(s, d):
     return _t(s, d, "orders").select("o_orderkey", X.idiom_penalty(F.col("o_orderkey") % 9).alias("idiom_penalty"))
 
 
-@_query("f3_risk_score", f"WITH {_RECORDS} SELECT ord, crappy_score FROM records")
+@_query("f3_risk_score", f"WITH {_RECORDS} SELECT ord, risk_score FROM records")
 def _(s, d):
-    return records(s, d).select("ord", "crappy_score")
+    return records(s, d).select("ord", "risk_score")
 
 
 @_query("f4_interval_overlap", "SELECT l_orderkey, l_linenumber, greatest(0, least(l_partkey % 50 + l_linenumber, l_suppkey % 50 + 5) - greatest(l_partkey % 50, l_suppkey % 50) + 1) AS lines FROM lineitem")
@@ -145,9 +145,9 @@ def _(s, d):
     return records(s, d).select("ord", X.lint_code(F.col("coverage_pct"), F.col("complexity"), F.col("idiom_penalty")).alias("lint_code"))
 
 
-@_query("f8_level", f"WITH {_RECORDS} SELECT ord, CASE WHEN crappy_score >= 30 THEN 'warning' ELSE 'note' END AS level FROM records")
+@_query("f8_level", f"WITH {_RECORDS} SELECT ord, CASE WHEN risk_score >= 30 THEN 'warning' ELSE 'note' END AS level FROM records")
 def _(s, d):
-    return records(s, d).select("ord", X.level(F.col("crappy_score"), 30.0).alias("level"))
+    return records(s, d).select("ord", X.level(F.col("risk_score"), 30.0).alias("level"))
 
 
 @_query("f10_duration", "SELECT o_orderkey, CASE WHEN ms < 60000 THEN CAST(ms // 1000 AS VARCHAR) || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 's' ELSE CAST(ms // 60000 AS VARCHAR) || 'm ' || CAST(ms // 1000 % 60 AS VARCHAR) || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 's' END AS took FROM (SELECT o_orderkey, o_orderkey * 125 % 200000 AS ms FROM orders)")
@@ -169,13 +169,12 @@ def _(s, d):
 
 @_query("g1_line_ranges", f"WITH {_REGIONS} SELECT event_id, unnest(generate_series(start_line, end_line)) AS line FROM regions WHERE start_line <= end_line")
 def _(s, d):
-    return regions(s, d).filter("start_line <= end_line").select("event_id", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    return C.line_ranges(regions(s, d), ["event_id"])
 
 
 @_query("a3_line_hits", f"WITH {_REGIONS}, lines AS (SELECT user_id, day, hits, unnest(generate_series(start_line, end_line)) AS line FROM regions WHERE start_line <= end_line) SELECT user_id, day, line, max(hits) AS hits FROM lines GROUP BY user_id, day, line")
 def _(s, d):
-    lines = regions(s, d).filter("start_line <= end_line").select("user_id", "day", "hits", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    return lines.groupBy("user_id", "day", "line").agg(F.max("hits").alias("hits"))
+    return C.line_hits(regions(s, d), ["user_id", "day"])
 
 
 @_query("a4_line_coverage", f"WITH {_REGIONS}, lines AS (SELECT user_id, day, hits, unnest(generate_series(start_line, end_line)) AS line FROM regions WHERE start_line <= end_line), per AS (SELECT user_id, day, line, max(hits) AS hits FROM lines GROUP BY ALL), pct AS (SELECT user_id, day, sum(CASE WHEN hits > 0 THEN 1.0::double ELSE 0.0::double END) / count(*) * 100.0::double AS p FROM per GROUP BY ALL), fns AS (SELECT DISTINCT user_id, day FROM regions) SELECT user_id, day, coalesce(p, 100.0::double) AS line_coverage_pct FROM fns LEFT JOIN pct USING (user_id, day)")
@@ -210,36 +209,19 @@ def _(s, d):
     return D.flag_repeated(D.flag_repeated(rows, "sig", "sig_duplicate"), "body", "body_duplicate").select("doc_id", "sig_duplicate", "body_duplicate")
 
 
-@_query("a8_warning_count", f"WITH {_RECORDS} SELECT count(*) FILTER (crappy_score >= 30) AS warnings FROM records")
+@_query("a8_warning_count", f"WITH {_RECORDS} SELECT count(*) FILTER (risk_score >= 30) AS warnings FROM records")
 def _(s, d):
-    return records(s, d).agg(F.count_if(F.col("crappy_score") >= 30.0).alias("warnings"))
+    return R.summary(records(s, d)).select("warnings")
 
 
-@_query("a9_any_exceeds", f"WITH {_RECORDS} SELECT bool_or(crappy_score > 500) AS exceeds FROM records")
+@_query("a9_any_exceeds", f"WITH {_RECORDS} SELECT bool_or(risk_score > 500) AS exceeds FROM records")
 def _(s, d):
-    return records(s, d).agg(F.bool_or(F.col("crappy_score") > 500.0).alias("exceeds"))
-
-
-@_query("a10_literal_arms", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'R') >= 2")
-def _(s, d):
-    return _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n")).filter("n >= 2").select("l_orderkey")
-
-
-@_query("a11_distinct", "SELECT DISTINCT p_brand, p_type FROM part")
-def _(s, d):
-    return _t(s, d, "part").select("p_brand", "p_type").distinct()
-
-
-@_query("a12_body_fingerprint", "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS fingerprint FROM lineitem GROUP BY l_orderkey")
-def _(s, d):
-    rows = _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("token")))).alias("t"))
-    return rows.select("l_orderkey", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("fingerprint"))
+    return R.any_exceeds(records(s, d), 500.0)
 
 
 @_query("a13_row_counts", f"WITH {_UNITS}, {_COVERED} SELECT (SELECT count(*) FROM units) AS functions, (SELECT count(*) FROM covered) AS coverage_rows")
 def _(s, d):
-    both = units(s, d).select(F.lit(1).alias("u")).unionByName(covered(s, d).select(F.lit(0).alias("u")))
-    return both.agg(F.count_if(F.col("u") == 1).alias("functions"), F.count_if(F.col("u") == 0).alias("coverage_rows"))
+    return R.row_counts(functions=units(s, d), coverage_rows=covered(s, d))
 
 
 @_query("j1_best_overlap", f"WITH {_UNITS}, {_COVERED}, {_BEST} SELECT ord, coverage_pct FROM scored")
@@ -247,16 +229,10 @@ def _(s, d):
     return J.best_overlap(units(s, d), C.merge_spans(covered(s, d))).select("ord", "coverage_pct")
 
 
-@_query("j2_consume_once", "WITH l AS (SELECT l_orderkey AS a, l_suppkey % 3 AS b, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, l_quantity FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ord) AS rn FROM l), g AS (SELECT a, b, l_quantity AS q, row_number() OVER (PARTITION BY a, b ORDER BY ord DESC) AS rl FROM l) SELECT f.a, f.b, f.ord, g.q AS q FROM f LEFT JOIN g ON f.a = g.a AND f.b = g.b AND rn = 1 AND rl = 1")
+@_query("j2_consume_once", "WITH l AS (SELECT l_orderkey AS a, l_suppkey % 3 AS b, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, l_quantity FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ord) AS rn FROM (SELECT DISTINCT a, b, ord FROM l)), g AS (SELECT a, b, l_quantity AS q, row_number() OVER (PARTITION BY a, b ORDER BY ord DESC, l_quantity DESC) AS rl FROM l) SELECT f.a, f.b, f.ord, g.q AS q FROM f LEFT JOIN g ON f.a = g.a AND f.b = g.b AND rn = 1 AND rl = 1")
 def _(s, d):
     rows = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") % 3).alias("b"), (F.col("l_linenumber") * F.lit(1000000000).cast("bigint") + F.col("l_partkey")).alias("ord"), F.col("l_quantity").alias("q"))
-    return J.consume_once(rows.select("a", "b", "ord"), rows, ["a", "b"])
-
-
-@_query("j3_struct_semi_join", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
-def _(s, d):
-    c = _t(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return _t(s, d, "orders").join(c, "o_custkey", "left_semi").select("o_orderkey")
+    return J.consume_once(rows.select("a", "b", "ord").distinct(), rows, ["a", "b"])
 
 
 @_query("j5_rule_lookup", f"WITH items AS (SELECT l_orderkey, l_linenumber, [{_NAMES}][l_partkey % 8 + 1] AS rule FROM lineitem) SELECT l_orderkey, l_linenumber, rule, CASE rule {_WEIGHTS} END AS weight FROM items")
@@ -287,7 +263,7 @@ def _(s, d):
     return _shown(R.exclude(records(s, d), ["7", "33"], ["f1"]))
 
 
-@_query("p14_display_threshold", f"WITH {_RECORDS} SELECT {_SHOW} FROM records WHERE crappy_score >= 30 AND NOT {_CLEAN}")
+@_query("p14_display_threshold", f"WITH {_RECORDS} SELECT {_SHOW} FROM records WHERE risk_score >= 30 AND NOT {_CLEAN}")
 def _(s, d):
     return _shown(R.displayed(records(s, d)))
 
@@ -305,19 +281,19 @@ def _(s, d):
     return J.score(u, c, i, "/p").select("ord", F.col("file").alias("shown"))
 
 
-@_query("o1_rank_by_risk", f"WITH {_RECORDS} SELECT {_SHOW} FROM records ORDER BY crappy_score DESC, ord")
+@_query("o1_rank_by_risk", f"WITH {_RECORDS} SELECT {_SHOW} FROM records ORDER BY risk_score DESC, ord")
 def _(s, d):
     return _shown(J.rank(records(s, d)))
 
 
-@_query("o3_top_n", f"WITH {_RECORDS}, top AS (SELECT * FROM records ORDER BY crappy_score DESC, ord LIMIT 25) SELECT {_SHOW} FROM top WHERE NOT {_CLEAN}")
+@_query("o3_top_n", f"WITH {_RECORDS}, top AS (SELECT * FROM records ORDER BY risk_score DESC, ord LIMIT 25) SELECT {_SHOW} FROM top WHERE NOT {_CLEAN}")
 def _(s, d):
     return _shown(R.displayed(records(s, d), top=25))
 
 
-@_query("k2_diagnostic", f"""WITH {_RECORDS}, t AS (SELECT *, CASE WHEN crappy_score >= 100 THEN 'warning' ELSE 'note' END AS level, {_CODE} AS code FROM records WHERE crappy_score >= 100 AND NOT {_CLEAN})
+@_query("k2_diagnostic", f"""WITH {_RECORDS}, t AS (SELECT *, CASE WHEN risk_score >= 100 THEN 'warning' ELSE 'note' END AS level, {_CODE} AS code FROM records WHERE risk_score >= 100 AND NOT {_CLEAN})
 SELECT ord, level || '[' || code || ']: `' || name || '` has high change-risk score' || chr(10) || ' --> ' || file || ':' || CAST(start_line AS VARCHAR) || chr(10) || '  |' || chr(10)
-|| '  = note: CRAPPY = ' || format('{{:.1f}}', crappy_score) || ', CRAP = ' || format('{{:.1f}}', crap_score) || ', CC = ' || CAST(complexity AS VARCHAR) || ', Cov = ' || format('{{:.0f}}', coverage_pct) || '%' || chr(10)
+|| '  = note: RISK = ' || format('{{:.1f}}', risk_score) || ', CRAP = ' || format('{{:.1f}}', crap_score) || ', CC = ' || CAST(complexity AS VARCHAR) || ', Cov = ' || format('{{:.0f}}', coverage_pct) || '%' || chr(10)
 || CASE WHEN coverage_pct < 50 THEN '  = help: coverage is ' || format('{{:.0f}}', coverage_pct) || '% — add tests to reduce risk' || chr(10) ELSE '' END
 || CASE WHEN complexity >= 10 THEN '  = help: cyclomatic complexity is ' || CAST(complexity AS VARCHAR) || ' — consider splitting into smaller functions' || chr(10) ELSE '' END
 || CASE WHEN idiom_penalty > 1 THEN '  = note: idiom penalty ' || format('{{:.2f}}', idiom_penalty) || 'x applied' || chr(10) ELSE '' END
@@ -328,23 +304,33 @@ def _(s, d):
     return R.diagnostics(R.displayed(records(s, d), 100.0), 100.0).select("ord", "report_line")
 
 
-@_query("k3_summary", f"WITH {_RECORDS} SELECT count(*) FILTER (crappy_score >= 30) AS warnings, count(*) AS functions, CASE WHEN count(*) FILTER (crappy_score >= 30) > 0 THEN 'warning: `riskloom` generated ' || CAST(count(*) FILTER (crappy_score >= 30) AS VARCHAR) || ' warnings' ELSE 'note: `riskloom` analyzed ' || CAST(count(*) AS VARCHAR) || ' functions, no warnings' END AS summary_line FROM records")
+@_query("k3_summary", f"WITH {_RECORDS} SELECT count(*) FILTER (risk_score >= 30) AS warnings, count(*) AS functions, CASE WHEN count(*) FILTER (risk_score >= 30) > 0 THEN 'warning: `riskloom` generated ' || CAST(count(*) FILTER (risk_score >= 30) AS VARCHAR) || ' warnings' ELSE 'note: `riskloom` analyzed ' || CAST(count(*) AS VARCHAR) || ' functions, no warnings' END AS summary_line FROM records")
 def _(s, d):
     return R.summary(records(s, d))
 
 
-@_query("u2_bag_union", "SELECT l_orderkey AS k FROM lineitem UNION ALL SELECT o_orderkey AS k FROM orders")
+_LINES = _SQL["k2_diagnostic"].replace("AS report_line FROM t", "AS report_line, risk_score FROM t").replace("100", "1000")
+
+
+@_query("k1_report", f"""WITH blocks AS ({_LINES}), {_RECORDS}, n AS (SELECT count(*) FILTER (risk_score >= 1000) AS warnings, count(*) AS functions FROM records)
+SELECT coalesce((SELECT string_agg(report_line || chr(10), '' ORDER BY risk_score DESC, ord) FROM blocks), '') || CASE WHEN warnings > 0 THEN 'warning: `riskloom` generated ' || CAST(warnings AS VARCHAR) || ' warnings (threshold 1000)' ELSE 'note: `riskloom` analyzed ' || CAST(functions AS VARCHAR) || ' functions, no warnings' END || chr(10) AS report FROM n""")
+def _(s, d):
+    return s.createDataFrame([(R.report_text(records(s, d), 1000.0),)], "report string")
+
+
+@_query("k5_exit_code", f"WITH {_RECORDS} SELECT threshold, CAST(coalesce((SELECT bool_or(risk_score > threshold) FROM records), false) AS INT) AS code FROM (VALUES (10.0::double), (300.0::double), (100000.0::double)) t(threshold)")
 def _(s, d):
-    return _t(s, d, "lineitem").select(F.col("l_orderkey").alias("k")).unionByName(_t(s, d, "orders").select(F.col("o_orderkey").alias("k")))
+    rows = records(s, d).persist()
+    return s.createDataFrame([(t, R.exit_code(rows, t)) for t in (10.0, 300.0, 100000.0)], "threshold double, code int")
 
 
 def queries() -> dict:
-    from . import snippets
+    from . import generated
 
-    return _Q | snippets.queries()
+    return _Q | generated.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import snippets
+    from . import generated
 
-    return _SQL | snippets.oracle_sql()
+    return _SQL | generated.oracle_sql()

@@ -132,7 +132,8 @@ class Parser:
                 if not comma:
                     break
             self.need(")")
-            return ("tuple", items) if comma or not items else ("other",)
+            # One type in parentheses without a comma is no tuple.
+            return ("tuple", items) if comma or len(items) != 1 else ("other",)
         if self.eat("["):
             inner = self.type_()
             if self.eat(";"):
@@ -600,7 +601,7 @@ class Parser:
                 if not comma:
                     break
             self.need(")")
-            return Node("tuple" if comma or not items else "paren", t.line, items)
+            return Node("tuple" if comma or len(items) != 1 else "paren", t.line, items)
         if t.text == "[" and t.kind == "open":
             self.i += 1
             items = []
@@ -991,12 +992,8 @@ def has(attributes, path: str, arg: str | None = None, only: bool = False) -> bo
     return any(p == path and (arg is None or (args == [arg] if only else arg in args)) for p, args in attributes)
 
 
-#: The lint name whose allowance takes a function out of the analysis.
-SUPPRESSION = "crappy"
-
-
-def rows(source: str) -> list[dict]:
-    """Flat rows of a file, in pre-order.  ``owners`` are the functions around a
+def rows(source: str, allowance: str) -> list[dict]:
+    """Flat rows of a file, in pre-order.  Functions that allow the lint *allowance* are not emitted.  ``owners`` are the functions around a
     node with no closure between; a closure itself belongs to its owners."""
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
@@ -1012,7 +1009,7 @@ def rows(source: str) -> list[dict]:
         row = {"pre": pre, "parent": parent, "kind": node.kind, "name": node.name, "op": node.op, "line": node.line, "end_line": node.end_line, "owners": owners, "context": context}
         inner_owners, inner_context, inner_hidden = owners, context, hidden
         if node.kind == "fn":
-            skip = has(d["attributes"], "test") or has(d["attributes"], "allow", SUPPRESSION)
+            skip = has(d["attributes"], "test") or has(d["attributes"], "allow", allowance)
             row["emitted"] = d["body"] and not hidden and not skip
             row["is_free"] = not d["inside"]
             row["sig_fp"] = signature_text(d["inputs"], d["output"], context)

@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..errors import BAD_FILE
+
 PASSED = {"target", ".git"}
 #: Files that one task reads.
 FILES = 64
@@ -52,8 +54,12 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         for path in partition.paths:
-            with open(path, encoding="utf-8", newline="") as f:
-                yield path, f.read()
+            try:
+                with open(path, encoding="utf-8", newline="") as f:
+                    content = f.read()
+            except (OSError, UnicodeDecodeError) as e:
+                raise RuntimeError(f"{BAD_FILE} {path}: {e}") from None
+            yield path, content
 
 
 class SourceTree(DataSource):

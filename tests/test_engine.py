@@ -1,6 +1,7 @@
 """Scores, joins, coverage, parser and report on hand-made cases."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from riskloom.functions import scores as X
 from riskloom.operators import coverage as C
 from riskloom.operators import report as R
 from riskloom.operators import scoring as J
-from riskloom.operators.duplicates import check_duplicates
+from riskloom.operators.duplicates import check_duplicates, flag_repeated
 from riskloom.rust import parser
 from riskloom.rust.lexer import RustSyntaxError
 from riskloom.sources.tree import read_sources, walk
+from riskloom.storage import keep
 
 
 @pytest.mark.parametrize("cc,cov,want", [(1, 100, 1), (1, 0, 2), (6, 0, 42), (12, 0, 156), (7, 100, 7)])
@@ -72,7 +74,7 @@ def test_report(spark):
     f, c, i = tables(spark, [("/p/a.rs", "x", 1, 3, 12, 1), ("/p/a.rs", "y", 5, 6, 1, 2)], [("/p/a.rs", 5, 6, 100.0)], [])
     r = J.score(f, c, i, "/p")
     text = R.report_text(r, 30.0)
-    assert text.startswith("warning[high-risk]: `x` has high change-risk score\n --> a.rs:1\n  |\n  = note: CRAPPY = 156.0, CRAP = 156.0, CC = 12, Cov = 0%\n")
+    assert text.startswith("warning[high-risk]: `x` has high change-risk score\n --> a.rs:1\n  |\n  = note: RISK = 156.0, CRAP = 156.0, CC = 12, Cov = 0%\n")
     assert text.endswith("generated 1 warnings (threshold 30)\n") and "`y`" not in text
     assert R.report_text(r, None, 0) == "No functions to report.\n"
     assert R.exit_code(r, 156.0) == 0 and R.exit_code(r, 155.0) == 1 and R.exit_code(r) == 0
@@ -86,7 +88,7 @@ def test_fixed_ties(spark):
 @pytest.mark.parametrize("source", ["fn f( {", "fn f() { 'x }", "struct", "fn f() { let x = ; }"])
 def test_syntax_errors(source):
     with pytest.raises(RustSyntaxError):
-        parser.rows(source)
+        parser.rows(source, "riskloom")
 
 
 @pytest.mark.parametrize(
@@ -101,7 +103,7 @@ def test_syntax_errors(source):
     ],
 )
 def test_parses(source):
-    assert any(r["kind"] == "fn" for r in parser.rows(source))
+    assert any(r["kind"] == "fn" for r in parser.rows(source, "riskloom"))
 
 
 def test_source_tree(spark, tmp_path):
@@ -123,14 +125,177 @@ def test_arguments():
             parse(bad)
 
 
-def test_end_to_end(spark, tmp_path):
-    from riskloom.api import analyze
+def test_regions_that_claim_to_end_far_off(spark):
+    big = 2**32 - 1
+    rows = [[1, 1, big, 1, 0, 0, 0, 0], [5, 1, 9, 1, 3, 0, 0, 0]]
+    df = spark.createDataFrame([(json.dumps(rows),)], "j string").select(F.from_json("j", "array<array<decimal(20,0)>>").alias("r"))
+    assert df.select(C.line_coverage_in_row(F.col("r"))).first()[0] == pytest.approx(5 / big * 100)
+    f, c, i = tables(spark, [("a.rs", "x", 4, 16, 5, 1), ("b.rs", "y", 4, 16, 5, 2)], [("a.rs", 1, big, 80.0), ("a.rs", 5, 6, 90.0), ("none.rs", 0, big, 1.0)], [])
+    assert {r.ord: r.coverage_pct for r in J.score(f, c, i).collect()} == {1: 80.0, 2: 0.0}
+
+
+def test_one_key_on_a_third_of_all_rows(spark):
+    """Neither the flags nor the consume-once join bring a key's rows to one task."""
+    from pyspark.sql import DataFrame
+
+    hot = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k"}
+    old = {k: spark.conf.get(k) for k in hot}
+    n = 60_000
+
+    def largest(df: DataFrame) -> int:
+        return max(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("ord")).collect())  # the sum keeps the rows wide
 
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    try:
+        rows = keep(spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.col("id").alias("ord"), F.lit(1).alias("v")).repartition(8), "hot")
+        flagged = keep(flag_repeated(rows, "key", "twice"), "flagged")
+        assert flagged.filter("twice").count() == n // 3
+        assert largest(flag_repeated(rows, "key", "twice").select("ord", "twice")) < n // 6
+        taken = J.consume_once(rows.select("key", "ord"), rows, ["key"])
+        assert taken.filter("v is not null").count() == 2 * n // 3 + 1
+        assert largest(taken) < n // 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def project(tmp_path, source: str, coverage: str):
     src = tmp_path / "src"
-    src.mkdir()
-    (src / "lib.rs").write_text("pub fn trivial() -> i32 { 1 }\npub fn branchy(a: bool, b: bool) {\n    if a {\n        if b {}\n    }\n}\n")
+    src.mkdir(exist_ok=True)
+    (src / "lib.rs").write_text(source)
+    (tmp_path / "cov.json").write_text(coverage)
+    return str(tmp_path.resolve())
+
+
+SOURCE = "pub fn answer() -> u8 { 42 }\npub fn sign(n: i64) -> &'static str {\n    if n < 0 {\n        \"minus\"\n    } else if n > 0 {\n        \"plus\"\n    } else {\n        \"\"\n    }\n}\n#[allow(quiet)]\nfn left_out() {}\n"
+
+
+def exported(root: str) -> str:
+    return json.dumps({"data": [{"functions": [{"filenames": [f"{root}/src/lib.rs"], "regions": [[1, 1, 1, 9, 4, 0, 0, 0]]}]}]})
+
+
+def test_end_to_end(spark, tmp_path):
+    from riskloom.api import Options, analyze
+
     root = str(tmp_path.resolve())
-    cov = tmp_path / "cov.json"
-    cov.write_text(json.dumps({"data": [{"functions": [{"filenames": [f"{root}/src/lib.rs"], "regions": [[1, 1, 1, 9, 4, 0, 0, 0]]}]}]}))
-    got = {r.name: (r.file, r.complexity, r.coverage_pct, r.crap_score) for r in analyze(spark, root, [str(src)], str(cov)).collect()}
-    assert got == {"trivial": ("src/lib.rs", 1, 100.0, 1.0), "branchy": ("src/lib.rs", 3, 0.0, 12.0)}
+    project(tmp_path, SOURCE, exported(root))
+    got = {r.name: (r.file, r.complexity, r.coverage_pct, r.crap_score) for r in analyze(spark, root, [f"{root}/src"], f"{root}/cov.json", Options(allowance="quiet")).collect()}
+    assert got == {"answer": ("src/lib.rs", 1, 100.0, 1.0), "sign": ("src/lib.rs", 3, 0.0, 12.0)}
+
+
+def run(tmp_path, monkeypatch, capsys, *args):
+    from riskloom import cli
+    from riskloom.sources import collector
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(collector, "metadata", lambda *a, **k: "")
+    code = cli.main([*args, "--coverage", str(tmp_path / "cov.json")])
+    return code, *capsys.readouterr()
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    root = str(tmp_path.resolve())
+    project(tmp_path, SOURCE, exported(root))
+    code, out, err = run(tmp_path, monkeypatch, capsys, "riskloom", "--threshold", "5", "--allowance", "quiet", "--label", "SCORE")
+    assert code == 1 and out.startswith("warning[low-coverage]: `sign`") and "SCORE = 12.0, CRAP = 12.0, CC = 3, Cov = 0%" in out and out.endswith("generated 1 warnings (threshold 5)\n")
+    assert "Read 1 functions with coverage, 2 in the source" in err and "Scored 2 functions in 0m" not in err and "Scored 2 functions in " in err
+    assert run(tmp_path, monkeypatch, capsys, "--threshold", "500")[0] == 0 and run(tmp_path, monkeypatch, capsys)[0] == 0
+
+
+@pytest.mark.parametrize("source,coverage,said", [
+    ("fn f( {", None, "unreadable Rust source"),
+    ("fn f() {}", "{", "unreadable JSON document"),
+    ("fn f() {}", '{"data": [{}]}', "unreadable JSON document"),
+    ("fn f() {}", '{"data": 7}', "unreadable JSON document"),
+    ("fn f() {}", '{"data": [{"functions": [{"filenames": ["x"]}]}]}', "unreadable JSON document"),
+])
+def test_input_that_cannot_be_read(spark, tmp_path, monkeypatch, capsys, source, coverage, said):
+    root = str(tmp_path.resolve())
+    project(tmp_path, source, exported(root) if coverage is None else coverage)
+    code, out, err = run(tmp_path, monkeypatch, capsys)
+    assert code == 2 and out == "" and [x for x in err.splitlines() if x.startswith("error: ")][0].startswith(f"error: {said}")
+
+
+def test_bytes_that_are_no_source(spark, tmp_path, monkeypatch, capsys):
+    root = str(tmp_path.resolve())
+    project(tmp_path, "", exported(root))
+    (tmp_path / "src/lib.rs").write_bytes(b"fn f() {} // \xff")
+    code, _, err = run(tmp_path, monkeypatch, capsys)
+    assert code == 2 and "error: unreadable file" in err
+
+
+def test_permissive_and_strict(spark):
+    from riskloom.operators import static
+
+    sources = spark.createDataFrame([("a.rs", "fn f( {"), ("b.rs", "impl A { fn f() { x.unwrap(); } } mod m { impl A { fn f() { } } }"), ("c.rs", None)], "file string, content string")
+    nodes = static.ast_nodes(sources, permissive=True).persist()
+    assert [r.file for r in nodes.filter("parse_error is not null").collect()] == ["a.rs"]
+    f, i = static.complexity(nodes), check_duplicates(static.idioms(nodes))
+    c = spark.createDataFrame([], S.COVERAGE)
+    loose, strict = (sorted(len(r.checks) for r in J.score(f.withColumn("start_line", F.monotonically_increasing_id()), c, i.withColumn("start_line", F.monotonically_increasing_id()), strict_identity=x).collect()) for x in (False, True))
+    assert loose == [0, 0] and strict == [0, 1]
+
+
+def test_collector_parts(tmp_path):
+    from riskloom.errors import ToolNotFound
+    from riskloom.sources import collector, project as P
+
+    assert collector.host_triple("rustc 1\nhost: a-b\n") == "a-b" and collector.host_triple("rustc") is None
+    assert collector.feature_args("p", ["a", "b"], True, True) == ["--package", "p", "--features", "a", "--features", "b", "--all-features", "--no-default-features"]
+    assert collector.feature_args() == []
+    with pytest.raises(ToolNotFound):
+        collector.resolve_tools("/x", "nothing")
+    tools = tmp_path / "lib/rustlib/h/bin"
+    tools.mkdir(parents=True)
+    (tools / "llvm-profdata").touch()
+    with pytest.raises(ToolNotFound, match="llvm-cov"):
+        collector.resolve_tools(f"{tmp_path}\n", "host: h")
+    (tools / "llvm-cov").touch()
+    assert [p.name for p in collector.resolve_tools(f"{tmp_path}\n", "host: h")] == ["llvm-profdata", "llvm-cov"]
+
+    at = tmp_path / "profiles"
+    collector.clean_profiles(at)
+    for name in ("b.profraw", "a.profraw", "m.profdata", "keep.txt"):
+        (at / name).touch()
+    assert [p.name for p in collector.profiles(at)] == ["a.profraw", "b.profraw"]
+    collector.clean_artifacts(at)
+    assert [p.name for p in at.iterdir()] == ["keep.txt"]
+    (at / "keep.txt").unlink()
+    collector.clean_artifacts(at)
+    assert not at.exists()
+
+    inner = tmp_path / "work" / "crate"
+    inner.mkdir(parents=True)
+    assert P.detect_package(str(inner)) is None and not P.is_workspace_member(str(inner))
+    (inner / "Cargo.toml").write_text('[dependencies]\nname = "no"\n[package]\nversion = "1"\nname = "yes"\n')
+    (inner.parent / "Cargo.toml").write_text("[workspace]\n")
+    assert P.detect_package(str(inner)) == "yes" and P.is_workspace_member(str(inner))
+
+
+def test_terminal_codes(spark):
+    from riskloom.cli import bold
+
+    assert spark.range(1).select(bold(True)("warning", F.lit("x")), bold(False)("warning", F.lit("x"))).first()[:] == ("\x1b[1;33mx\x1b[0m", "x")
+
+
+def test_scores_that_follow_a_folder(spark, tmp_path):
+    from riskloom.streaming import follow_coverage
+
+    f, c, i = tables(spark, [("a.rs", "x", 4, 16, 5, 1)], [("a.rs", 5, 15, 80.0)], [])
+    at, seen = str(tmp_path / "rows"), []
+    c.coalesce(1).write.parquet(at)
+    writer = follow_coverage(spark, at, f, i, lambda df, batch: seen.append([r.coverage_pct for r in df.collect()]))
+    query = writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    query.awaitTermination(120)
+    assert seen == [[80.0]]
+
+
+def test_scratch_folder(spark):
+    from riskloom import storage
+
+    kept = storage.keep(spark.range(5).toDF("id"), "gone")
+    assert kept.count() == 5
+    storage.drop(kept)
+    assert not os.path.exists(kept._riskloom_path.removeprefix("file://"))
+    assert storage.scratch_dir(spark) == storage.scratch_dir(spark)

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import Kept
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, keep: Kept) -> DataFrame:
     """edges: (a, b) with b < a, each once."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
@@ -34,10 +34,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component; directions, repeats, loops and nulls don't matter.  An empty
     graph gives an empty result."""
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
-    edges, was = keep(edges, "components"), None
+    keep, was = Kept(), None
+    edges = keep(edges, "components")
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == was or not now[0]:
+            keep.leave(edges)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         was = now
-        edges = keep(_star(_star(edges, True), False), "components")
+        halfway = keep(_star(edges, True, keep), "components")
+        edges = keep(_star(halfway, False, keep), "components")
+        keep.leave(edges)

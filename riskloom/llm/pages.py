@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import Kept
 
 #: References of a layout, and of a host.
 REFERENCES = 12
@@ -548,6 +548,7 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     Bytes that are no UTF-8 read as U+FFFD.  An empty table gives an empty
     result; other columns, whatever their names, are neither read nor returned.
     """
+    keep = Kept()
     pages = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
 
     def survey(batches):
@@ -582,7 +583,8 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     chosen = _small(chosen, chosen.agg(F.sum(F.octet_length("host") + 32)).first()[0], sent_bytes)
     refs = usable.join(chosen, ["page_id", "host"]).select("page_id", "host", "html", "key").mapInArrow(sketch, "host string, skeleton string").filter("skeleton is not null")
     refs = refs.groupBy("host").agg(F.collect_set("skeleton").alias("refs")).mapInArrow(induction, "host string, template string").filter("template is not null")
-    refs = keep(refs.withColumnRenamed("host", "_host"), "pages-templates")
+    refs = templates = keep(refs.withColumnRenamed("host", "_host"), "pages-templates")
+    keep.leave(templates)
     refs = _small(refs, refs.agg(F.sum(F.octet_length("_host") + F.octet_length("template"))).first()[0], sent_bytes)
 
     def run(batches):

@@ -1,45 +1,36 @@
-"""Places and helpers that every operator of this folder uses.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
-all executors of a cluster share.  They are ordinary Parquet files, so a lost
-executor costs a re-read and never a re-computation.
-"""
+"""Helpers that every operator of this folder uses."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, keep
+
 #: One word, by the contract's own definition: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder.  Only where the session names none, as in
-    tests on one machine, a temporary folder is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or None
-    if at is None:
-        at = tempfile.mkdtemp(prefix="riskloom-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+class Kept:
+    """Tables that one operator writes into the shared folder on its way.  What
+    has been read for the last time is deleted, and nothing but what the result
+    reads is left in the end."""
 
+    def __init__(self):
+        self.made: list[DataFrame] = []
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write *df* once into the shared folder and return it as a fresh scan.
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(keep(df, name))
+        return self.made[-1]
 
-    Cuts the lineage; unlike a cache the result survives executor loss, and
-    Catalyst still prunes columns and pushes filters into the re-read.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def done(self, *tables: DataFrame) -> None:
+        """Deletes these tables."""
+        drop(*tables)
+        self.made = [t for t in self.made if all(t is not x for x in tables)]
+
+    def leave(self, *tables: DataFrame) -> None:
+        """Deletes all but these."""
+        self.done(*[t for t in self.made if all(t is not x for x in tables)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +49,3 @@ def free_name(wanted: str, taken) -> str:
 def whole_text(text: str = "text"):
     """The text column, null as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

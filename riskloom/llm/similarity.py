@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep as kept
 from . import kernel as K
 from .components import components
-from .shared import free_name, keep
+from .shared import Kept, free_name
 
 SHINGLE = 4
 #: Threshold in hundredths.
@@ -244,7 +245,7 @@ def _links(percent: int):
     return run
 
 
-def frequent(counts: DataFrame) -> np.ndarray:
+def frequent(counts: DataFrame, keep: Kept) -> np.ndarray:
     """The most frequent n-grams of (token, count) rows, rarer ones first: as
     many whole steps of frequency as hold KNOWN n-grams at most."""
     counts = keep(counts.groupBy("token").agg(F.sum("count").alias("count")), "similarity-counts")
@@ -269,10 +270,10 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     as smaller than any other and stays null.  Other columns, whatever their
     names, are neither read nor returned.
     """
-    spark = df.sparkSession
+    spark, keep = df.sparkSession, Kept()
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     survey = keep(docs.mapInArrow(_survey(shingle), "doc bigint, n bigint, k1 bigint, k2 bigint, token bigint, count bigint"), "similarity-survey")
-    often = frequent(survey.filter("token is not null"))
+    often = frequent(survey.filter("token is not null"), keep)
     place = np.argsort(often)
     sent = spark.sparkContext.broadcast((often[place], place.astype(np.uint64)))
     base = survey.filter("token is null").select("doc", "n", "k1", "k2")
@@ -331,6 +332,7 @@ def similar_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     more = verified(open_, "2")
     if more.limit(1).count():
         stars = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    keep.leave(survey, followers)
     led = base.join(followers.withColumnRenamed("doc", "copy"), F.col("doc") == F.col("copy"), "left").select("doc", "n", F.coalesce("leader", "doc").alias("leader"))
     out = led.join(stars, F.col("leader") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "leader").alias("component_id"))
     back = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(alias) for c, alias in (("doc", "doc_id"), ("component_id", "component_id"))]
@@ -350,7 +352,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
         return df.join(out, key == F.col(gone), "left_anti")
     # Ids that repeat don't name a row; written, so that each row keeps its number.
     row = free_name("_row", df.columns)
-    rows = keep(df.withColumn(row, F.monotonically_increasing_id()), "similarity-rows")
+    rows = kept(df.withColumn(row, F.monotonically_increasing_id()), "similarity-rows")
     parts = similar_components(rows, doc_id=row, text=text, **how).join(rows.select(F.col(row).alias("doc_id"), key.alias("key")), "doc_id")
     stays = parts.groupBy("component_id").agg(F.min(F.struct("key", "doc_id"))["doc_id"].alias("stays"))
     return rows.join(stays, F.col(row) == F.col("stays"), "left_semi").drop(row)

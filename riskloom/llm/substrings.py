@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import keep
+from .shared import Kept
 
 WINDOW = 50
 PHRASE = 25
@@ -236,6 +236,7 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     """
     if not 0 < phrase <= window:
         raise ValueError("a phrase is 1 word at least and a window at most")
+    keep = Kept()
     docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = keep(docs.mapInArrow(_digests, "doc_id bigint, n_words bigint, digest binary"), "substrings-base")
     # Equal word sequences: only the first is searched; in the others every window goes.
@@ -252,11 +253,13 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     recurring = keep(recurring, "substrings-recurring")
     lists = pairs.join(recurring, "phrase").groupBy("doc").agg(F.collect_set("phrase").alias("phrases"))
     shards = keep(docs.join(lists, docs.doc_id == lists.doc).select("doc_id", "text", "phrases"), "substrings-shards")
+    keep.done(copies, pairs, recurring)
     windows = keep(shards.mapInArrow(_candidates(window, phrase), "h1 bigint, h2 bigint, doc bigint, start int"), "substrings-windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("at"), F.max("doc").alias("most")).filter("at.doc < most")
     first = keep(first.select("h1", "h2", F.col("at.doc").alias("leader"), F.col("at.start").alias("begin")), "substrings-first")
     places = windows.join(first, ["h1", "h2"]).filter("doc > leader").groupBy("doc").agg(F.collect_list(F.struct("start", "leader", "begin")).alias("places"))
     passages = keep(places.mapInArrow(_passages, "doc bigint, leader bigint, begin int, n int"), "substrings-passages")
+    keep.done(windows, first)
     # The words of every passage, from the document where it stands first.
     passages = passages.withColumn("cell", (F.col("begin") / CELL).cast("int"))
     needed = passages.groupBy(F.col("leader").alias("of")).agg(F.collect_set("cell").alias("cells"))
@@ -265,8 +268,10 @@ def removed_words(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc
     wanted = passages.join(cells, ["leader", "cell"]).groupBy("doc").agg(F.collect_set(F.struct("leader", words.alias("words"))).alias("passages"))
     texts = shards.select("doc_id", "text")
     left = texts.join(wanted, texts.doc_id == wanted.doc).select("doc_id", "text", "passages").mapInArrow(_streamed, "doc bigint, of binary, n_removed bigint, kept_sha256 string")
+    left = keep(left.distinct(), "substrings-left")
+    keep.leave(base, followers, left)
     empty = hashlib.sha256(b"").hexdigest()
-    out = base.join(left.distinct(), (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("of")), "left").join(followers.withColumnRenamed("doc_id", "follower"), (F.col("doc_id") == F.col("follower")) & (F.col("digest") == F.col("gone")), "left")
+    out = base.join(left, (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("of")), "left").join(followers.withColumnRenamed("doc_id", "follower"), (F.col("doc_id") == F.col("follower")) & (F.col("digest") == F.col("gone")), "left")
     follows = F.col("follower").isNotNull()
     return out.select(
         F.when(F.col("doc_id") == -(2**63), None).otherwise(F.col("doc_id")).alias("doc_id"),

@@ -17,11 +17,11 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, keep, whole_text
+from .shared import WORD, Kept, whole_text
 
-#: Slices of each source's shuffle order and of virtual time: parameters of how
-#: evenly work is dealt, without influence on the result.
-SLICES = 1024
+#: Slices of each source's shuffle order and of virtual time at least, and rows
+#: of one where there are more: how work is dealt, without influence on the result.
+SLICES, ROWS = 1024, 1 << 16
 
 
 def word_count(text: str = "text"):
@@ -73,7 +73,7 @@ def _running(rows: DataFrame, within: list[str], order: list, amount: str, out:
 
 
 def mix(df: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epochs: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken (words) for every row of *df*.
+    """doc_id, size, source_size, target, taken (words) and source for every row of *df*.
 
     A document is taken whole, *epochs* times at most, in as many rounds over
     its source.  Words are runs of anything but ASCII white space; null and
@@ -82,27 +82,32 @@ def mix(df: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epoc
     repeated rows with one id are taken each on its own count.  Other columns,
     whatever their names, are neither read nor returned.
     """
+    keep = Kept()
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
     # The first 60 bits of a hash that other engines have as well; it orders, and no more.
     place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
-    rows = keep(rows.withColumn("place", place).withColumn("slot", F.floor(F.col("place") / 2.0**60 * SLICES).cast("int")), "mix-sizes")
+    rows = keep(rows.withColumn("place", place), "mix-sizes")
+    n, words = rows.agg(F.count("*"), F.sum("size")).first()
+    slices = max(SLICES, n // ROWS)
+    rows = rows.withColumn("slot", F.floor(F.col("place") / 2.0**60 * slices).cast("int"))
     # Rows alike in everything are one entry, so that the order has no ties.
     alike = rows.groupBy("doc_id", "source", "size", "place", "slot").agg(F.count("*").alias("rows"))
     targets = source_targets(rows)
     queue = _running(alike.withColumn("words", F.col("size") * F.col("rows")), ["source", "slot"], ["place", "doc_id", "size"], "words", "done")
     t = targets.select(F.col("source").alias("_of"), "source_size", "target")
     queue = keep(queue.join(t, F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "mix-queue")
+    keep.leave(queue)
     # One entry for each round over a source.  Entries beyond the target end after
     # virtual time 1 and cannot be within the budget, save the one on the border.
     entries = queue.filter("size > 0 and target > 0").withColumn("round", F.explode(F.array(*[F.lit(i) for i in range(epochs)])))
     entries = entries.withColumn("finish", (F.col("done") + F.col("round") * F.col("source_size")) / F.col("target"))
     entries = entries.filter(F.col("finish") <= 1 + (F.col("words") / F.col("target")))
-    entries = entries.withColumn("slice", F.least(F.floor(F.col("finish") * SLICES), F.lit(2 * SLICES)).cast("int"))
+    entries = entries.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("int"))
     lined = _running(entries, ["slice"], ["finish", "doc_id", "source", "size", "round"], "words", "total")
-    budget = (rows.agg(F.sum("size")).first()[0] or 0) * share.numerator // share.denominator  # one number
+    budget = (words or 0) * share.numerator // share.denominator  # one number
     within = lined.filter(F.col("total") <= budget)
     got = within.groupBy("doc_id", "source", "size").agg((F.sum("size")).alias("taken"))
     got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
     out = queue.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left")
     out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")

@@ -6,6 +6,11 @@ with benchmark passages go; secrets are blanked out in place; and the rest is
 mixed to the target weights of their sources.  The last stage returns the
 columns of documents with each document's size and how many of its words the
 mix takes, for documents of which it takes any.
+
+In every stage null and empty texts are clean, alike with nothing and without
+secrets or passages, and rows that repeat are judged alike; an empty table stays
+empty, and columns of any name stay as they are.  Each stage's docstring says
+what else holds.
 """
 
 from __future__ import annotations
@@ -23,19 +28,26 @@ SHINGLE, PERCENT = 5, 80
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose texts score below the operator's threshold of toxicity.
+    Without labels of both kinds nothing is learnt, and all rows stay."""
     return toxicity.keep_clean(docs, table(ship(spark), sf_dir, "labels"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near copies: the one with the smallest id, a
+    null id before any other.  Rows without words all stay."""
     ship(spark)
     return similarity.one_of_each(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose texts hold no item of the benchmark, whatever the item's id."""
     return decontaminate.remove(docs, table(ship(spark), sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with every secret in a text replaced by a mark; n_chars, if
+    there is such a column, follows."""
     done = secrets.redact(docs, "text")
     return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else done
 
@@ -62,8 +74,8 @@ STAGES = [
     ("source_mixing", mixed),
 ]
 
-#: Trained models and edit distances are not for SQL; the stages are tested
-#: against brute force instead.
+#: Trained models and edit distances are not for SQL.  Each stage's rows are
+#: tested against plain Python or, for the mix, against SQL over its input.
 ORACLE_SQL = None
 
 

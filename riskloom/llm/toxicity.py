@@ -281,9 +281,13 @@ def scores(df: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
 def keep_clean(df: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.3, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of *df*, with all columns, that are not predicted to be toxic;
-    a filter where the rows lie."""
+    a filter where the rows lie.  Null and empty texts stay, and rows that repeat
+    go or stay together.  Where too few labels are given to learn from, all
+    rows stay."""
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     model, place = trained(docs, labels, folds, held_out, sample, doc_id, label), df.columns.index(text)
+    if not model.value[0].any():
+        return df
 
     def run(batches):
         for batch in batches:

@@ -11,19 +11,21 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-#: Rows of an Arrow batch, where the session has Spark's own default.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, where the session has Spark's own defaults.
+#: Whole texts are wide rows: Spark's 10000 a batch would be tens of MB on both sides.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the session's Python workers, once a session.
 
     Spark's own file server hands it out, so that executors need neither the
-    repository nor a shared folder for it.
+    repository nor a shared folder for it.  Sets the session's sizes of Arrow
+    batches, unless the caller has set others.
     """
-    # Whole texts are wide rows: Spark's 10000 a batch would be tens of MB on both sides.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, (default, ours) in ARROW.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     sc = spark.sparkContext
     if getattr(sc, "_riskloom_shipped", None):
         return spark

@@ -28,31 +28,37 @@ def word_count(text: str = "text"):
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epochs: int = 2) -> DataFrame:
+def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epochs: int = 2, keep: Kept | None = None) -> DataFrame:
     """source, source_size, target for every source of *sizes* (source, size).
 
     Sources in the order of their code points, null last, weigh *weights*,
     repeating, and share *share* times all words.  No target exceeds *epochs*
     times its source's size; what is cut off is shared out again by weight.
     That fixed point is weight * level or the cap, whichever is less, with one
-    level for all; it comes from one pass over sources by cap / weight.  There
-    is one row a source here, pre-aggregated.  Without words all targets are 0.
+    level for all; it comes from running sums over sources by cap / weight.
+    Sources are pre-aggregated, a row each, and dealt by range, so that even a
+    source for every site is ranked by many tasks.  Without words all targets
+    are 0.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
-    up = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(0))
-    per = (
-        per.withColumn("capped", F.sum("cap").over(up) - F.col("cap"))
-        .withColumn("open_weight", F.sum("weight").over(everything) - F.sum("weight").over(up) + F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(everything) * share.numerator / F.lit(share.denominator))
-        .withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open_weight"))
-        # The first source whose cap isn't reached sets the level; if all reach theirs, none is held back.
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)["level"])
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    keep = keep or Kept()
+
+    def ranged(rows: DataFrame, order: list, name: str) -> DataFrame:
+        # Written, so that each row stays with the number of its range.
+        return keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+
+    by_name = [F.col("source").asc_nulls_last()]
+    per = ranged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), by_name, "mix-sources")
+    per = _running(per.withColumn("_one", F.lit(1)), ["_range"], by_name, "_one", "_rank").drop("_range", "_one")
+    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * epochs).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    by_ratio = [F.col("ratio").asc(), *by_name]
+    per = ranged(per, by_ratio, "mix-ratios")
+    words, weighs = per.agg(F.sum("source_size"), F.sum("weight")).first()  # two numbers
+    per = _running(_running(per, ["_range"], by_ratio, "cap", "_capped"), ["_range"], by_ratio, "weight", "_weighed")
+    level = (F.lit(float(words or 0)) * share.numerator / share.denominator - (F.col("_capped") - F.col("cap"))) / (F.lit(float(weighs or 0)) - F.col("_weighed") + F.col("weight"))
+    # The first source whose cap isn't reached sets the level; if all reach theirs, none is held back.
+    first = per.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first) * F.col("weight"))
     return per.select("source", "source_size", target.alias("target"))
 
 
@@ -92,7 +98,7 @@ def mix(df: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), epoc
     rows = rows.withColumn("slot", F.floor(F.col("place") / 2.0**60 * slices).cast("int"))
     # Rows alike in everything are one entry, so that the order has no ties.
     alike = rows.groupBy("doc_id", "source", "size", "place", "slot").agg(F.count("*").alias("rows"))
-    targets = source_targets(rows)
+    targets = source_targets(rows, weights, share, epochs, keep)
     queue = _running(alike.withColumn("words", F.col("size") * F.col("rows")), ["source", "slot"], ["place", "doc_id", "size"], "words", "done")
     t = targets.select(F.col("source").alias("_of"), "source_size", "target")
     queue = keep(queue.join(t, F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "mix-queue")

@@ -342,7 +342,9 @@ def occurrences(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, doc_i
 
 def remove(df: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of *df*, with all columns, whose texts hold no occurrence of a
-    benchmark item, whatever its id; a filter where the rows lie, in as many passes as the items take."""
+    benchmark item, whatever its id; a filter where the rows lie, in as many
+    passes as the items take.  Null and empty texts stay, rows that repeat stay
+    or go together, and null and empty items occur nowhere."""
     place, schema = df.columns.index(text), df.schema
     for rows in _passes(benchmark, None, item_text):
         sent = df.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])

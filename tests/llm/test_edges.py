@@ -61,6 +61,19 @@ def test_decontaminate(nasty, side):
     assert decontaminate.remove(nasty, side[0]).count() == nasty.count()
 
 
+def test_decontaminate_finds_in_odd_rows(spark, nasty):
+    """Repeated rows, null ids and a very long text hold items, too; null and empty items are nowhere."""
+    rows = nasty.collect()
+    shared, long = (next(r.text for r in rows if r.doc_id == d) for d in (1, 5))
+    items = [(1, shared[20:160]), (1, shared[20:160]), (2, long[-150:]), (None, shared[40:100]), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = Counter((r.doc_id, i) for r in rows for i, t in {x for x in items if x[0] and x[1]} if t in (r.text or ""))
+    got = decontaminate.occurrences(nasty, bench).filter("edits = 0")
+    assert Counter((r.doc_id, r.item_id) for r in got.collect()) == want and len(want) == 5
+    left = Counter((r.doc_id, r.text) for r in rows if not any(t and t in (r.text or "") for _, t in items))
+    assert Counter((r.doc_id, r.text) for r in decontaminate.remove(nasty, bench).collect()) == left
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages(spark, nasty, side, tmp_path, empty):
     for name, table in (("benchmark", side[0]), ("labels", side[1])):

@@ -100,12 +100,13 @@ class _Sample:
             times.append(often)
             held += len(chosen)
         none = [np.zeros(0, np.int64)]
-        # Words that several blocks hold become one.
+        # Words that several blocks hold become one, the first: a mask takes less room than places would.
         _, first, same = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
         counts = np.concatenate(counts or none)
-        begin = np.cumsum(counts) - counts
-        self.counts = counts[first]
-        self.slots = np.concatenate(slots or none)[K.ranges(begin[first], self.counts)]
+        once = np.zeros(len(counts), bool)
+        once[first] = True
+        self.slots = np.concatenate(slots or none)[np.repeat(once, counts)]
+        self.counts, same = counts[once], (np.cumsum(once) - 1)[first][same]
         self.begin = np.cumsum(self.counts) - self.counts
         self.doc, self.word = np.concatenate(doc or none), same[np.concatenate(word or none)]
         self.times = np.concatenate(times or none)

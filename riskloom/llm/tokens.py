@@ -1,14 +1,19 @@
 """Token counts by a finite-state transducer (operator 9).
 
 A byte-level BPE tokenizer first cuts a text into pieces by a pattern, then
-merges bytes within each piece.  The pattern is compiled into a deterministic
-transducer over character classes whose transitions say how many pieces they
-begin (0 or 1); what has to be known of the following characters is part of
-the input symbol.  A text is dealt into chunks: every chunk yields the map from
-the state before it to the state after it, the maps are composed by a parallel
-prefix scan, and then every chunk runs from its true first state.  Pieces carry
-the token count that the merges give them; a lexicon of such counts is compiled
-as pieces are met.
+merges bytes within each piece.  Both are compiled into deterministic
+transducers, one behind the other.
+
+The first runs over character classes; its transitions say where pieces begin;
+what has to be known of the following characters is part of the input symbol.
+A text is dealt into chunks: every chunk yields the map from the state before it
+to the state after it, the maps are composed by a parallel prefix scan, and then
+every chunk runs from its true first state.
+
+The second runs over bytes, for all pieces of a block at once.  A transition on
+a byte leads on; the one on the end of a piece leads back to the first state and
+emits the number of tokens that the merges leave of the piece.  Its transitions
+are compiled from the merges as pieces are met.
 
 The counts equal those of the vocabulary's own library with special tokens
 neither added nor suppressed: special strings inside a text are one token each.
@@ -27,8 +32,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 CHUNK = 64
-#: Entries of a worker's lexicon before it begins anew; bounds its memory.
-LEXICON = 1_000_000
+#: States of a worker's transducer over bytes before it begins anew; bounds its memory.
+STATES = 3 << 20
+#: Bytes of the longest piece that it takes; longer ones are weighed one by one.
+LONGEST = 32
+#: Pairs of tokens that are remembered.
+PAIRS = 1_000_000
 
 # Symbols: what a character is, and what follows it as far as it matters.
 LETTER, DIGIT, OTHER, SHORT1, SHORT2, SPACES, BLANK, SPACE = range(8)
@@ -148,6 +157,107 @@ _SHORT1 = set(map(ord, "stmd"))
 _SHORT2 = {(ord(a), ord(b)) for a, b in ("re", "ve", "ll")}
 
 
+class Pieces:
+    """The transducer over bytes.  Transitions are a hash table of numpy arrays:
+    from a state, on a byte, to a state.  What the end of a piece emits in a
+    state is in ``emits``, -1 where it isn't compiled yet."""
+
+    def __init__(self, weigh, most: int = STATES):
+        self.weigh, self.most = weigh, most
+        self.begin()
+
+    def begin(self) -> None:
+        self.bits = 16
+        self.keys, self.to = np.zeros(1 << self.bits, K.U), np.zeros(1 << self.bits, np.int32)
+        self.emits = np.full(1 << self.bits, -1, np.int32)
+        self.states = 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (K.mix(keys) >> K.U(64 - self.bits)).astype(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """Where transitions lead; -1 where there is none."""
+        out, slot = np.full(len(keys), -1, np.int64), self.slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot]
+            hit = held == keys
+            out[left[hit]] = self.to[slot[hit]]
+            more = ~hit & (held != 0)
+            left, keys, slot = left[more], keys[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """New transitions, each once."""
+        slot = self.slot(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            mine = self.keys[slot] == keys
+            self.to[slot[mine]] = to[mine]
+            left = ~mine
+            keys, to, slot = keys[left], to[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def room(self, more: int) -> None:
+        """Makes room for as many states more, in a table that is half full at most."""
+        while 2 * (self.states + more) > 1 << self.bits:
+            kept = self.keys != 0
+            keys, to = self.keys[kept], self.to[kept]
+            self.bits += 1
+            self.keys, self.to = np.zeros(1 << self.bits, K.U), np.zeros(1 << self.bits, np.int32)
+            self.emits = np.concatenate((self.emits, np.full(len(self.emits), -1, np.int32)))
+            self.add(keys, to)
+
+    def walk(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, learn: bool = False) -> np.ndarray:
+        """The state behind the last byte of each piece; -1 where a transition is
+        missing, or, to *learn*, is made."""
+        order = np.argsort(-size, kind="stable")
+        starts, size = starts[order], size[order]
+        state = np.zeros(len(order), np.int64)
+        live = np.arange(len(order))
+        for j in range(int(size[0]) if len(size) else 0):
+            live = live[: np.searchsorted(-size[live], -j)]  # those of more than j bytes
+            keys = (state[live].astype(K.U) + K.U(1)) << K.U(8) | raw[starts[live] + j]
+            to = self.step(keys)
+            new = np.flatnonzero(to < 0)
+            if len(new) and learn:
+                fresh, back = np.unique(keys[new], return_inverse=True)
+                self.room(len(fresh))
+                self.add(fresh, np.arange(self.states, self.states + len(fresh), dtype=np.int32))
+                to[new] = self.states + back
+                self.states += len(fresh)
+            state[live] = to
+            if len(new) and not learn:
+                live = live[to >= 0]
+        out = np.empty(len(order), np.int64)
+        out[order] = state
+        return out
+
+    def run(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What each raw[start : start + size] emits."""
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(size <= LONGEST)
+        at, n = starts[short], size[short]
+        state = self.walk(raw, at, n)
+        emitted = np.where(state >= 0, self.emits[state], -1)
+        new = np.flatnonzero(emitted < 0)
+        if len(new):
+            data = raw.tobytes()
+            pieces = list({data[a : a + k] for a, k in zip(at[new].tolist(), n[new].tolist())})
+            if self.states + sum(map(len, pieces)) > self.most:
+                self.begin()
+                pieces = list({data[a : a + k] for a, k in zip(at.tolist(), n.tolist())})
+                new = np.arange(len(at))
+            each = np.array([len(p) for p in pieces], np.int64)
+            ends = self.walk(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(each) - each, each, learn=True)
+            self.emits[ends] = [self.weigh(p) for p in pieces]
+            emitted[new] = self.emits[self.walk(raw, at[new], n[new])]
+        out[short] = emitted
+        for k in np.flatnonzero(size > LONGEST).tolist():
+            out[k] = self.weigh(raw[starts[k] : starts[k] + size[k]].tobytes())
+        return out
+
+
 class Counter:
     """Token counts for one vocabulary file."""
 
@@ -166,7 +276,7 @@ class Counter:
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
-        self.lexicon: dict[bytes, int] = {}
+        self.pieces = Pieces(self.weigh)
 
         unbyte = self.unbyte
         raw = [tuple(bytes(map(unbyte.__getitem__, side)) for side in p) for p in pairs]
@@ -213,7 +323,7 @@ class Counter:
     def fits(self, left: bytes, right: bytes) -> bool:
         got = self.joint.get((left, right))
         if got is None:
-            if len(self.joint) > LEXICON:
+            if len(self.joint) > PAIRS:
                 self.joint.clear()
             got = self.joint[left, right] = self.beside(left, right)
         return got
@@ -249,13 +359,6 @@ class Counter:
                 size, last = len(last) - 1, taken.pop()
         return len(taken)
 
-    def known(self, piece: bytes) -> int:
-        """Tokens of a piece by the lexicon, which learns it if it is new."""
-        count = self.lexicon.get(piece)
-        if count is None:
-            count = self.lexicon[piece] = self.weigh(piece)
-        return count
-
     def merge(self, piece: bytes) -> list[bytes]:
         """What the merges leave of a piece: the best-ranked pair merges first,
         the leftmost first among equals."""
@@ -326,17 +429,7 @@ class Counter:
         first[np.searchsorted(place, offsets[:-1][offsets[:-1] < len(raw)])] = True
         starts = place[transduce(symbols_of(points, first))]
         ends = np.append(starts[1:], len(raw))
-        # Equal pieces are found by their bytes: pieces of up to 8 are a number each, longer ones are looked up one by one.
-        if len(self.lexicon) > LEXICON:
-            self.lexicon.clear()
-        size = ends - starts
-        counts = np.empty(len(starts), np.int64)
-        short = np.flatnonzero(size <= 7)
-        keys, at, back = np.unique(K.eight_bytes(raw, starts[short], size[short]), return_index=True, return_inverse=True)
-        first = short[at]
-        counts[short] = np.array([self.known(data[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())], np.int64)[back]
-        long = np.flatnonzero(size > 7)
-        counts[long] = [self.known(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        counts = self.pieces.run(raw, starts, ends - starts)
         text = owner[np.searchsorted(offsets, starts, "right") - 1]
         return total + np.bincount(text, counts, len(total)).astype(np.int64)
 
@@ -367,7 +460,7 @@ def token_counts(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: in
     that are no UTF-8 are characters of their own; repeated rows give
     repeated results; other columns, whatever their names, are neither read
     nor returned; an empty table gives an empty result.  A pass over the rows
-    without a shuffle; a worker holds one block of texts and a bounded lexicon.
+    without a shuffle; a worker holds one block of texts and a bounded transducer.
     """
     schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 

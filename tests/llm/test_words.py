@@ -117,3 +117,23 @@ def test_passages_of_many_leaders(spark):
         w = t.split()
         gone = {k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for k in range(i, i + 50)}
         assert got[d] == (len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+
+
+def test_transducer_over_bytes():
+    """Every piece emits what it weighs, new or known, before and after it has begun anew."""
+    rng = random.Random(9)
+    weighed = []
+
+    def weigh(piece: bytes) -> int:
+        weighed.append(piece)
+        return sum(piece) % 97
+
+    small = tokens.Pieces(weigh, most=3000)
+    known = [rng.randbytes(rng.randint(1, 40)) for _ in range(300)] + [b"", b"\0", b"\0\0", b"a" * 31, b"a" * 32, b"a" * 33]
+    known = [p for p in known if p]
+    for _ in range(12):
+        pieces = [rng.choice(known) if rng.random() < 0.7 else bytes(rng.choices(b"ab", k=rng.randint(1, 34))) for _ in range(400)]
+        size = np.array([len(p) for p in pieces])
+        got = small.run(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
+        assert got.tolist() == [sum(p) % 97 for p in pieces] and small.states <= 3000 + 400 * 34
+    assert len(weighed) < 12 * 400

@@ -209,6 +209,18 @@ def _(s, d):
     return D.flag_repeated(D.flag_repeated(rows, "sig", "sig_duplicate"), "body", "body_duplicate").select("doc_id", "sig_duplicate", "body_duplicate")
 
 
+@_query("u3_repeated_keys", "SELECT CAST(l_partkey AS VARCHAR) AS part FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_partkey HAVING count(*) >= 2")
+def _(s, d):
+    rows = _t(s, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_partkey").cast("string").alias("part"))
+    return D.repeated_keys(rows, "part")
+
+
+@_query("j4_duplicate_flag_join", "SELECT p_partkey, p_type IS NOT NULL AND count(*) OVER (PARTITION BY p_type, p_size) >= 2 AS twice FROM part")
+def _(s, d):
+    rows = _t(s, d, "part").select("p_partkey", F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("key"))
+    return D.flag_repeated(rows, "key", "twice").select("p_partkey", "twice")
+
+
 @_query("a8_warning_count", f"WITH {_RECORDS} SELECT count(*) FILTER (risk_score >= 30) AS warnings FROM records")
 def _(s, d):
     return R.summary(records(s, d)).select("warnings")

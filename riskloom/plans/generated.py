@@ -212,6 +212,11 @@ def _(s, d):
     return rows.select("file", "qualified_name", F.array_join("checks", ",").alias("checks"))
 
 
+@_query("g5_demerits_of_files", _over("SELECT file, CAST(sum(weight) AS BIGINT) AS demerits, count(*) AS functions FROM flagged GROUP BY file"))
+def _(s, d):
+    return static.idioms(nodes(s, d)).groupBy("file").agg(F.sum("demerits").alias("demerits"), F.count("*").alias("functions"))
+
+
 @_query("u2_bag_union", _over("SELECT file, rule, count(*) AS n FROM (SELECT file, unnest(checks) AS rule FROM fns) GROUP BY file, rule"))
 def _(s, d):
     every = nodes(s, d)

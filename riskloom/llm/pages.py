@@ -574,9 +574,9 @@ def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", source
     differing = usable.mapInArrow(survey, "page_id bigint, host string, layout bigint, key bigint").groupBy("host", "layout", "key").agg(F.min("page_id").alias("page_id"))
     differing = keep(differing, "pages-skeletons")
     held = differing.groupBy("host", "layout").agg(F.count("*").alias("held"))
-    # The first of each layout by a minimum with partial sums, in classes of the key, before any window sees a host.
-    classes = differing.groupBy("host", "layout", F.pmod("key", F.lit(16 * references)).alias("class")).agg(F.min(F.struct("page_id", "key")).alias("one"))
-    first = classes.select("host", "layout", "one.*").withColumn("place", F.row_number().over(Window.partitionBy("host", "layout").orderBy("page_id", "key"))).filter(F.col("place") <= references)
+    # Such a limit by rank is taken in every task first, before a host's rows meet.
+    place = F.row_number().over(Window.partitionBy("host", "layout").orderBy("page_id", "key"))
+    first = differing.withColumn("place", place).filter(F.col("place") <= references)
     order = Window.partitionBy("host").orderBy(F.desc("held"), "layout", "place")
     first = first.join(held, ["host", "layout"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     chosen = keep(first.select("page_id", "host", "key"), "pages-chosen")

@@ -45,6 +45,12 @@ def test_long_pages_both_ways(spark):
     assert texts(spark, rows) == texts(spark, rows, sent_bytes=0) == want
 
 
+def test_hosts_of_four_pages(spark):
+    """As few pages as make a template, whatever their ids and texts."""
+    rows = [(h, f"<body><div><p>Site {h}</p><div>{h} {n} text</div><p>All rights</p></div>") for h in range(60) for n in "abcd"]
+    assert texts(spark, rows) == [f"{h} {n} text" for h in range(60) for n in "abcd"]
+
+
 def test_layouts_that_no_reference_has(spark):
     base = lambda n, more="": f"<body><div><p>Site name</p><div>{n} text</div>{more}<p>All rights</p></div>"
     rows = [(1, base(f"n{i}")) for i in range(8)] + [(1, base("odd", "<blockquote>odd quote</blockquote>"))]

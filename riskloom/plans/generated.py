@@ -110,7 +110,9 @@ def sources(s, d, broken: int = 0) -> DataFrame:
     o = o.withColumn("text", F.concat(opens, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n}"), closes))
     files = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("items"))
     end = F.when(F.col("o_custkey") % broken == 0, "\nfn open( {").otherwise("\n") if broken else F.lit("\n")
-    return files.select(F.concat(F.lit("/gen/"), F.col("o_custkey").cast("string"), F.lit(".rs")).alias("file"), F.concat(F.lit("// made\n"), F.col("items"), end).alias("content"))
+    made = files.select(F.concat(F.lit("/gen/"), F.col("o_custkey").cast("string"), F.lit(".rs")).alias("file"), F.concat(F.lit("// made\n"), F.col("items"), end).alias("content"))
+    # Source is small and slow to parse: by their bytes alone, few tasks would seem enough for all of it.
+    return made.repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
 
 
 def nodes(s, d) -> DataFrame:

@@ -52,6 +52,8 @@ def tokens(source: str) -> list[Token]:
             m = _SPACE.match(source, at)
             line += m[0].count("\n")
             at = m.end()
+        elif c not in "bcr" and (m := _IDENT.match(source, at)):  # those may begin a string
+            add("ident", m.end())
         elif source.startswith("//", at):
             end = source.find("\n", at)
             at = n if end < 0 else end

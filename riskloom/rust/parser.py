@@ -16,7 +16,8 @@ from .lexer import RustSyntaxError, Token, tokens
 # Fixed values of the language: binary operators by how tightly they bind.
 _BINARY = {"||": 3, "&&": 4, "==": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "|": 6, "^": 7, "&": 8, "<<": 9, ">>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11}
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="}
-_OPERATORS = sorted([*_BINARY, *_ASSIGN, "..", "..=", "=>", "->", "::", "..."], key=len, reverse=True)
+_OPERATORS = frozenset([*_BINARY, *_ASSIGN, "..", "..=", "=>", "->", "::", "..."])
+_PLAIN = frozenset(("ident", "punct", "open", "close"))
 NUMERIC = frozenset("u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64".split())
 _FN_WORDS = {"const", "async", "unsafe", "safe", "extern", "default"}
 
@@ -32,6 +33,7 @@ class Node:
 class Parser:
     def __init__(self, source: str):
         self.t, self.i, self.loose = tokens(source), 0, []
+        self.n = len(self.t)
 
     # Tokens.
     def fail(self, wanted: str):
@@ -39,11 +41,13 @@ class Parser:
         raise RustSyntaxError(f"line {t.line}: expected {wanted}, found {t.text or 'end of file'!r}")
 
     def peek(self, k: int = 0) -> Token:
-        return self.t[min(self.i + k, len(self.t) - 1)]
+        at = self.i + k
+        return self.t[at if at < self.n else -1]
 
     def is_(self, text: str, k: int = 0) -> bool:
-        t = self.peek(k)
-        return t.text == text and t.kind in ("ident", "punct", "open", "close") and not t.raw
+        at = self.i + k
+        t = self.t[at if at < self.n else -1]
+        return t.text == text and t.kind in _PLAIN and not t.raw
 
     def next(self) -> Token:
         t = self.t[self.i]
@@ -63,12 +67,18 @@ class Parser:
 
     def op(self) -> str:
         """The longest operator that begins here."""
-        if self.peek().kind != "punct":
+        t = self.peek()
+        if t.kind != "punct":
             return ""
-        for o in _OPERATORS:
-            if all(self.peek(k).text == c and self.peek(k).kind == "punct" and (k == len(o) - 1 or self.peek(k).joint) for k, c in enumerate(o)):
-                return o
-        return self.peek().text
+        run = t.text  # as many as stand without a space between, three at most
+        while t.joint and len(run) < 3:
+            t = self.peek(len(run))
+            if t.kind != "punct":
+                break
+            run += t.text
+        while len(run) > 1 and run not in _OPERATORS:
+            run = run[:-1]
+        return run
 
     def eat_op(self, o: str) -> bool:
         if self.op() == o:

@@ -244,7 +244,8 @@ def _(s, d):
 @_query("f16_literals_casts_and_calls", _over("SELECT file, count(*) FILTER (item = 4) * 2 AS literals, count(*) FILTER (item = 11) AS casts, count(*) FILTER (item = 8) AS drops FROM placed JOIN said ON l_orderkey = k GROUP BY file"))
 def _(s, d):
     c = F.col
-    rows = nodes(s, d).filter("kind in ('arm', 'binary', 'call', 'let')").groupBy("file")
+    # Functions belong to it, so that a file without any of the others has its zeros.
+    rows = nodes(s, d).filter("kind in ('fn', 'arm', 'binary', 'call', 'let')").groupBy("file")
     rows = rows.agg(F.count_if("lit_pattern").alias("literals"), F.count_if((c("kind") == "binary") & c("casts")).alias("casts"), F.count_if((c("kind") == "call") & (c("name") == "drop")).alias("drops"))
     return rows.join(_files_with_statements(s, d), "file", "left_semi")
 

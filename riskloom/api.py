@@ -32,7 +32,7 @@ def analyze_static(sources: DataFrame, allowance: str = static.ALLOWANCE) -> tup
     """(functions, idioms) of source rows (file, content).  The nodes are kept in
     memory and on disk between the relations; executors that are lost parse
     their files again."""
-    nodes = static.ast_nodes(sources, allowance=allowance).persist()
+    nodes = static.ast_nodes(sources, allowance=allowance, kinds=static.FUNCTIONS).persist()
     return static.complexity(nodes), check_duplicates(static.idioms(nodes))
 
 

@@ -1,7 +1,9 @@
 """Static analysis: source text to syntax nodes once, then plain relations.
 
-Functions, complexity, idiom findings and fingerprints are filters and
-aggregations over one table of nodes; only parsing runs Python.
+A function's row sums up the nodes that it owns while its file is walked, since
+branches, findings and tokens of a function never leave its file: functions,
+complexity, idiom findings and fingerprints are filters and columns of one table
+of nodes, without a join.  Only parsing runs Python.
 """
 
 from __future__ import annotations
@@ -16,39 +18,46 @@ from ..session import ship
 
 NODES = (
     "file string, pre bigint, parent bigint, kind string, name string, op string, line bigint, end_line bigint, owners array<bigint>, context string,"
-    " emitted boolean, is_free boolean, sig_fp string, ref_type_name string, ret_box_dyn_error boolean, at_top boolean, lit_pattern boolean, casts boolean, macro_empty boolean, parse_error string"
+    " emitted boolean, is_free boolean, sig_fp string, ref_type_name string, ret_box_dyn_error boolean, on_struct boolean, branches bigint, tokens string, checks array<string>,"
+    " at_top boolean, lit_match boolean, lit_pattern boolean, casts boolean, macro_empty boolean, parse_error string"
 )
 #: The lint whose allowance takes a function out of the analysis, unless the caller names another.
 ALLOWANCE = "riskloom"
-#: Node kinds that add a branch, besides lazy boolean operators.
-BRANCHES = ("if", "arm", "while", "for", "loop", "try")
-COMPARISONS = ("<", "<=", ">", ">=", "==", "!=", "+", "-", "*", "/", "%")
-#: Fingerprint token of a node kind; other kinds say nothing.
-TOKENS = {"if": "if", "match": "match", "arm": "arm", "while": "while", "for": "for", "loop": "loop", "return": "return", "try": "?", "call": "call", "method_call": "method", "binary": "binop", "unary": "unop", "assign": "assign", "closure": "closure", "let": "let"}
+#: The only nodes that most relations read.
+FUNCTIONS = ("fn",)
+#: Rows of a batch that goes to Spark, at most but for one file's.
+BATCH = 2_000
 
 
-def ast_nodes(sources: DataFrame, permissive: bool = False, allowance: str = ALLOWANCE) -> DataFrame:
-    """Syntax nodes of (file, content) rows.  A file that cannot be parsed is an
-    error, or with *permissive* one row with parse_error.  Functions that allow
-    the lint *allowance* are left out of the analysis."""
+def ast_nodes(sources: DataFrame, permissive: bool = False, allowance: str = ALLOWANCE, kinds=None) -> DataFrame:
+    """Syntax nodes of (file, content) rows: all, or those of *kinds*.  A file
+    that cannot be parsed is an error, or with *permissive* one row with
+    parse_error.  Functions that allow the lint *allowance* are left out of the
+    analysis."""
     ship(sources.sparkSession)
 
     def run(batches):
         from riskloom.rust.lexer import RustSyntaxError
         from riskloom.rust.parser import rows
 
-        kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
-        schema = pa.schema([(n, kinds[k]) for n, k in map(str.split, NODES.split(","))])
+        types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+        schema = pa.schema([(n, types[k]) for n, k in map(str.split, NODES.split(","))])
         for batch in batches:
+            got = []
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    got = [r | {"file": file} for r in rows(content or "", allowance)]
+                    for r in rows(content or "", allowance, kinds):
+                        r["file"] = file
+                        got.append(r)
                 except RustSyntaxError as e:
                     if not permissive:
                         raise RuntimeError(f"{BAD_SOURCE} {file}: {e}") from None
-                    got = [{"file": file, "pre": -1, "kind": "error", "owners": [], "parse_error": str(e)}]
-                for i in range(0, len(got), 10_000):
-                    yield pa.RecordBatch.from_pylist(got[i : i + 10_000], schema)
+                    got.append({"file": file, "pre": -1, "kind": "error", "owners": [], "parse_error": str(e)})
+                for i in range(0, len(got) - BATCH + 1, BATCH):
+                    yield pa.RecordBatch.from_pylist(got[i : i + BATCH], schema)
+                got = got[len(got) // BATCH * BATCH :] if len(got) >= BATCH else got
+            if got:
+                yield pa.RecordBatch.from_pylist(got, schema)
 
     return sources.select("file", "content").mapInArrow(run, NODES)
 
@@ -57,22 +66,16 @@ def _qualified() -> Column:
     return F.concat_ws("::", "context", "name")
 
 
-def _is_branch() -> Column:
-    return F.col("kind").isin(*BRANCHES) | (F.col("kind") == "binary") & F.col("op").isin("&&", "||")
-
-
 def function_rows(nodes: DataFrame) -> DataFrame:
     """Emitted functions: file, fn (pre-order id), qualified_name, lines, ord."""
     return nodes.filter((F.col("kind") == "fn") & F.col("emitted")).select(
-        "file", F.col("pre").alias("fn"), _qualified().alias("qualified_name"), F.col("line").alias("start_line"), F.greatest("line", "end_line").alias("end_line"), "is_free", "sig_fp", "ref_type_name", "ret_box_dyn_error"
+        "file", F.col("pre").alias("fn"), _qualified().alias("qualified_name"), F.col("line").alias("start_line"), F.greatest("line", "end_line").alias("end_line"), "is_free", "sig_fp", "ref_type_name", "ret_box_dyn_error", "on_struct", "branches", "tokens", "checks"
     )
 
 
 def complexity(nodes: DataFrame) -> DataFrame:
     """functions: cyclomatic complexity of each emitted function."""
-    branches = nodes.filter(_is_branch()).select("file", F.explode("owners").alias("fn")).groupBy("file", "fn").agg(F.count("*").alias("branches"))
-    rows = function_rows(nodes).join(branches, ["file", "fn"], "left")
-    return rows.select("file", "qualified_name", "start_line", "end_line", (1 + F.coalesce("branches", F.lit(0))).cast("bigint").alias("complexity"), _order())
+    return function_rows(nodes).select("file", "qualified_name", "start_line", "end_line", (1 + F.col("branches")).cast("bigint").alias("complexity"), _order())
 
 
 def _order() -> Column:
@@ -82,8 +85,7 @@ def _order() -> Column:
 
 def literal_matches(nodes: DataFrame) -> DataFrame:
     """file, pre of each match with two arms or more that are literals."""
-    arms = nodes.filter("kind = 'arm' and lit_pattern").groupBy("file", F.col("parent").alias("pre"))
-    return arms.agg(F.count("*").alias("n")).filter("n >= 2").select("file", "pre")
+    return nodes.filter("kind = 'match' and lit_match").select("file", "pre")
 
 
 def struct_names(nodes: DataFrame) -> DataFrame:
@@ -92,48 +94,23 @@ def struct_names(nodes: DataFrame) -> DataFrame:
 
 
 def method_like(nodes: DataFrame) -> DataFrame:
-    """Free functions whose first parameter refers to a struct of their file."""
-    return function_rows(nodes).filter("is_free").join(struct_names(nodes), ["file", "ref_type_name"], "left_semi")
+    """Free functions whose first parameter refers to a struct at the top of their file."""
+    return function_rows(nodes).filter(F.col("is_free") & F.col("on_struct"))
 
 
 def findings(nodes: DataFrame) -> DataFrame:
-    """file, fn, place, rule: every idiom finding; place orders a function's findings."""
-    c = F.col
-    literal = literal_matches(nodes)
-    matches = nodes.filter("kind = 'match'").join(literal, ["file", "pre"], "left_semi").select("file", "pre", "owners", F.array(F.lit("MatchOnLiteral")).alias("rules"))
-    call = c("kind").isin("call", "method_call")
-    rules = F.array_compact(
-        F.array(
-            F.when((c("kind") == "binary") & c("op").isin(*COMPARISONS) & c("casts"), "PrimitiveCastInComparison"),
-            F.when((c("kind") == "method_call") & (c("name") == "unwrap"), "Unwrap"),
-            F.when((c("kind") == "call") & (c("name") == "drop"), "ExplicitDrop"),
-            F.when(call & (c("name") == "from_iter"), "FromIterInsteadOfCollect"),
-            F.when((c("kind") == "macro") & (c("name") == "vec") & c("macro_empty"), "EmptyVecMacro"),
-        )
-    )
-    others = nodes.filter(c("kind").isin("binary", "call", "method_call", "macro")).select("file", "pre", "owners", rules.alias("rules")).filter(F.size("rules") > 0)
-    body = matches.unionByName(others).select("file", "pre", F.explode("owners").alias("fn"), "rules").select("file", "fn", c("pre").alias("place"), F.explode("rules").alias("rule"))
-    fns = function_rows(nodes)
-    free = method_like(nodes).select("file", "fn", F.lit(-2).cast("bigint").alias("place"), F.lit("FreeMethodCandidate").alias("rule"))
-    boxed = fns.filter("ret_box_dyn_error").select("file", "fn", F.lit(-1).cast("bigint").alias("place"), F.lit("BoxDynError").alias("rule"))
-    return body.unionByName(free).unionByName(boxed)
+    """file, fn, place, rule: every idiom finding of an emitted function; place orders a function's findings."""
+    return function_rows(nodes).select("file", "fn", F.posexplode("checks").alias("place", "rule"))
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:
-    """file, fn, body_fingerprint: the token list of a body, never empty.
+    """Emitted functions with body_fingerprint: of the token list of a body, never empty.
 
     Closures are a token without contents.  The list itself is the key of the
     comparison by way of its digest, so equal digests are equal lists."""
-    token = F.create_map(*[F.lit(x) for kv in TOKENS.items() for x in kv])
-    said = nodes.filter(F.col("kind").isin(*TOKENS)).select("file", "pre", F.explode("owners").alias("fn"), F.element_at(token, F.col("kind")).alias("token"))
-    lists = said.groupBy("file", "fn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "token"))), lambda x: x["token"]), " ").alias("tokens"))
-    fns = function_rows(nodes).select("file", "fn").join(lists, ["file", "fn"], "left")
-    return fns.select("file", "fn", F.sha2(F.coalesce("tokens", F.lit("")), 256).alias("body_fingerprint"))
+    return function_rows(nodes).withColumn("body_fingerprint", F.sha2("tokens", 256))
 
 
 def idioms(nodes: DataFrame) -> DataFrame:
     """idiom rows of each emitted function, before duplicate detection."""
-    found = findings(nodes).groupBy("file", "fn").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "rule"))), lambda x: x["rule"]).alias("checks"))
-    rows = function_rows(nodes).join(found, ["file", "fn"], "left").join(fingerprints(nodes), ["file", "fn"])
-    checks = F.coalesce("checks", F.array().cast("array<string>"))
-    return rows.select("file", "qualified_name", "start_line", X.demerits(checks).alias("demerits"), checks.alias("checks"), F.lit(False).alias("sig_duplicate"), F.lit(False).alias("body_duplicate"), F.col("sig_fp").alias("sig_fingerprint"), "body_fingerprint", _order())
+    return fingerprints(nodes).select("file", "qualified_name", "start_line", X.demerits(F.col("checks")).alias("demerits"), "checks", F.lit(False).alias("sig_duplicate"), F.lit(False).alias("body_duplicate"), F.col("sig_fp").alias("sig_fingerprint"), "body_fingerprint", _order())

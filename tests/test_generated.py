@@ -16,3 +16,36 @@ def test_files_of_one_statement(spark, tmp_path):
     at = tables(spark, tmp_path, orders, [(12 * i, 1, i) for i in range(n)])
     got = sorted(tuple(r) for r in G.queries()["f16_literals_casts_and_calls"](spark, at).collect())
     assert got == sorted((f"/gen/{i}.rs", 2 * (i == 4), int(i == 11), int(i == 8)) for i in range(n))
+
+
+def test_each_file_is_parsed_once(spark, tmp_path):
+    from riskloom.operators import static
+
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    text = "struct S; fn f(x: &S) -> Box<dyn Error> { x.unwrap(); if a { drop(v); } }"
+    sources = spark.createDataFrame([(f"{i}.rs", text) for i in range(10)], "file string, content string").mapInArrow(count, "file string, content string")
+    nodes = static.ast_nodes(sources)
+    for relation in (static.findings, static.fingerprints, static.idioms, static.complexity, static.method_like, static.literal_matches):
+        before = counted.value
+        relation(nodes).write.format("noop").mode("overwrite").save()
+        assert counted.value - before == 10, relation.__name__
+    assert static.idioms(nodes).first().checks == ["FreeMethodCandidate", "BoxDynError", "Unwrap", "ExplicitDrop"]
+
+
+def test_shared_statements():
+    """Equal statements on other lines, in closures and with other tokens behind them."""
+    from riskloom.rust.parser import rows
+
+    one = "if a { b(); }"
+    source = f"fn f() {{ {one} {one}\n{one} else {{ drop(v); }}\n{one}.x();\nlet g = || {{ {one} }}; {one}\n}}"
+    whole, brief = rows(source, "x"), rows(source, "x", ("fn",))
+    assert [r["line"] for r in whole if r["kind"] == "if"] == [1, 1, 2, 3, 4, 4]
+    assert whole[0] == brief[0] and len(brief) == 1
+    assert brief[0]["branches"] == 5 and brief[0]["checks"] == ["ExplicitDrop"]
+    assert brief[0]["tokens"] == "if call if call if call call method if call let closure if call"

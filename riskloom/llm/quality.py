@@ -3,12 +3,12 @@
 Every text becomes a vector of shape features: shares of kinds of characters,
 word lengths, repetition of words and lines.  From pairs of a preferred and a
 rejected labelled text a Bradley-Terry model learns weights by logistic loss on
-feature differences (Newton steps in numpy).  The score is the sigmoid of a
+feature differences (Newton steps; their sums come from all pairs' tasks).  The score is the sigmoid of a
 text's strength less the strength at that quantile of the training texts which
 the share of rejected labels names, so 0.5 is the quantile threshold.
 
-The model is fitted on at most ``sample`` labelled rows, a documented bound;
-features and scores are of all rows.
+Every labelled row that is not held out is in pairs, and in the quantile and the
+slope; tasks add them up, and the driver sees sums only.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import drop, keep
 from . import kernel as K
 
-SAMPLE = 20_000
-PAIRS = 40_000
 STEPS = 12
+#: Labelled rows that are paired among themselves, of either label how many at least, and pairs of a row.
+GROUP, LEAST, ROUNDS = 8192, 64, 4
+BINS = 4096
 _CLASS = np.zeros(256, np.uint8)
 for _n, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".,;:'\"-()", b"!", b"?", b"|", b"$%*&#@^~+=_", b"<>{}[]\\/`"), 1):
     _CLASS[list(_chars)] = _n
@@ -68,40 +69,126 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([kinds / np.maximum(size, 1)[:, None], *columns])
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 42) -> dict:
-    """A Bradley-Terry model from features and 0/1 labels.  Without both labels
-    every score is the share of label 1 (0.5 without any label)."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
-    z = np.clip((x - mean) / scale, -8, 8)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = np.zeros(z.shape[1])
-    if not len(good) or not len(bad):
-        p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return {"mean": mean, "scale": scale, "w": w, "cut": -float(np.log(p / (1 - p))), "slope": 1.0}
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+def total(rows: DataFrame, part) -> np.ndarray:
+    """The sum of *part* over all batches of *rows*; only sums reach the driver."""
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            if batch.num_rows:
+                got = part(*[matrix(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                sums = got if sums is None else sums + got
+        if sums is not None:
+            yield pa.RecordBatch.from_pydict({"sums": [sums.tolist()]}, pa.schema([("sums", pa.list_(pa.float64()))]))
+
+    return np.sum([r.sums for r in rows.mapInArrow(run, "sums array<double>").collect()], axis=0)
+
+
+def matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def standard(model: dict, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -8, 8)
+
+
+def differences(rows: DataFrame, model: dict, good: int, bad: int) -> DataFrame:
+    """Feature differences of pairs: each row of the commoner label of a group
+    with ROUNDS of the other.  Rows of a rare label are in several groups, so
+    that no group lacks it."""
+    groups = -(-(good + bad) // GROUP)
+    rare, few = (1, good) if good < bad else (0, bad)
+    copies = min(groups, -(-LEAST * groups // few))
+    turns = F.sequence(F.lit(0), F.when(F.col("y") == rare, copies - 1).otherwise(0))
+    dealt = rows.select(F.col("doc_id"), "y", "x", F.explode(turns).alias("c")).select(F.pmod(F.xxhash64("doc_id") + F.col("c"), F.lit(groups)).alias("g"), "doc_id", "y", "x")
+
+    def pair(table):
+        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+        z, y = standard(model, matrix(table["x"].combine_chunks())), table["y"].to_numpy()
+        ups, downs = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        if not len(ups) or not len(downs):
+            return pa.table({"d": pa.array([], pa.list_(pa.float64()))})
+        m, out = np.arange(max(len(ups), len(downs))), []
+        for r in range(ROUNDS):
+            i, j = (m, m + r * len(downs) // ROUNDS) if len(ups) > len(downs) else (m + r * len(ups) // ROUNDS, m)
+            out.append(z[ups[i % len(ups)]] - z[downs[j % len(downs)]])
+        d = np.concatenate(out)
+        return pa.table({"d": pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.reshape(-1)))})
+
+    return dealt.groupBy("g").applyInArrow(pair, "d array<double>")
+
+
+def ranked(strengths: DataFrame, weigh, rank: int, low: float, high: float) -> float:
+    """The strength at *rank* of all: the bin that holds it, four times over."""
+    for _ in range(4):
+        edges = np.linspace(low, high, BINS + 1)
+        counts = total(strengths, lambda x, edges=edges: np.bincount(np.searchsorted(edges, weigh(x), "right"), minlength=BINS + 2).astype(float))
+        at = int(np.searchsorted(np.cumsum(counts), rank, "right"))
+        if at > BINS:
+            return high
+        low, high = edges[at - 1] if at else low, edges[at]
+    return (low + high) / 2
+
+
+def fit(rows: DataFrame) -> dict:
+    """A Bradley-Terry model from (doc_id, y, x) rows, all of them.  Without both
+    labels every score is the share of label 1 (0.5 without any label)."""
+    sums = total(rows.select("x", "y"), lambda x, y: np.concatenate(([len(y), y.sum()], x.sum(0))))
+    size = len(NAMES)
+    n, good = (int(sums[0]), int(sums[1])) if np.ndim(sums) else (0, 0)
+    w = np.zeros(size)
+    if not good or good == n:
+        p = float(np.clip(good / n, 0.01, 0.99)) if n else 0.5
+        return {"mean": w, "scale": np.ones(size), "w": w, "cut": -float(np.log(p / (1 - p))), "slope": 1.0}
+    mean = sums[2:] / n
+    scale = np.sqrt(total(rows.select("x"), lambda x: ((x - mean) ** 2).sum(0)) / n) + 1e-6
+    model = {"mean": mean, "scale": scale}
+    pairs = keep(differences(rows, model, good, n - good), "quality-pairs")
     for _ in range(STEPS):  # minimise mean log(1 + exp(-w.d)) + ridge
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d * p[:, None]).mean(0) + 1e-3 * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(curve, grad)
-        w -= step / max(1.0, np.abs(step).max() / 2)
-    strength = z @ w
-    cut = float(np.quantile(strength, len(bad) / len(y)))
+
+        def slopes(d, w=w):
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            return np.concatenate(([len(d)], (d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).reshape(-1)))
+
+        sums = total(pairs, slopes)
+        grad = -sums[1 : size + 1] / sums[0] + 1e-3 * w
+        step = np.linalg.solve(sums[size + 1 :].reshape(size, size) / sums[0] + 1e-3 * np.eye(size), grad)
+        step = step / max(1.0, np.abs(step).max() / 2)
+        w = w - step
+        if np.abs(step).max() < 1e-7:
+            break
+    drop(pairs)
+
+    def strength(x, w=w):
+        return standard(model, x) @ w
+
+    x = rows.select("x")
+    reach = np.abs(w).sum() * 8 + 1.0  # features are cut at 8
+    at = (n - 1) * (n - good) / n
+    low, high = (ranked(x, strength, k, -reach, reach) for k in (int(at), min(int(at) + 1, n - 1)))
+    cut = float(low + (at - int(at)) * (high - low))
     # One slope turns distances from the cut into chances.
-    slope, t = 1.0, strength - cut
+    slope = 1.0
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(slope * t, -30, 30)))
-        slope = float(np.clip(slope - ((p - y) * t).mean() / max((p * (1 - p) * t * t).mean(), 1e-6) * 0.5, 0.05, 20))
-    return {"mean": mean, "scale": scale, "w": w, "cut": cut, "slope": slope}
+
+        def curve(x, y, slope=slope):
+            t = strength(x) - cut
+            p = 1 / (1 + np.exp(-np.clip(slope * t, -30, 30)))
+            return np.array([((p - y) * t).sum(), (p * (1 - p) * t * t).sum()])
+
+        first, second = total(rows.select("x", "y"), curve) / n
+        before, slope = slope, float(np.clip(slope - first / max(second, 1e-6) * 0.5, 0.05, 20))
+        if abs(slope - before) < 1e-6:
+            break
+    return model | {"w": w, "cut": cut, "slope": slope}
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    z = standard(model, x)
     return 1 / (1 + np.exp(-np.clip(model["slope"] * (z @ model["w"] - model["cut"]), -30, 30)))
 
 
-def scores(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def scores(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of *df*.
 
     Rows with crc32(doc_id as text) mod *folds* = *held_out* are held out: their
@@ -124,10 +211,9 @@ def scores(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     out_fold = fold(F.col("doc_id"), folds) == held_out
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~out_fold).distinct()
     # Only ids that *df* holds can be learnt from.
-    known = known.join(shaped.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = known.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
-    rows = shaped.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").toPandas()
-    model = fit(np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES)), rows["y"].to_numpy())
+    rows = keep(shaped.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")), "quality-labelled")
+    model = fit(rows)
+    drop(rows)
 
     def rate(batches):
         for batch in batches:

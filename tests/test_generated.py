@@ -49,3 +49,46 @@ def test_shared_statements():
     assert whole[0] == brief[0] and len(brief) == 1
     assert brief[0]["branches"] == 5 and brief[0]["checks"] == ["ExplicitDrop"]
     assert brief[0]["tokens"] == "if call if call if call call method if call let closure if call"
+
+
+def test_equal_signatures_are_parsed_once(monkeypatch):
+    from riskloom.rust import parser
+
+    met = []
+    real = parser.Parser.type_
+    monkeypatch.setattr(parser.Parser, "type_", lambda self, plus=True: met.append(1) or real(self, plus))
+    source = "\n".join(f"impl T{i} {{ fn f{i}(&self, once: [u8; 3], s: Vec<Self>) -> Once<Self> {{\n}} }}" for i in range(50))
+    got = [r for r in parser.rows(source, "x") if r["kind"] == "fn"]
+    assert [r["sig_fp"] for r in got] == [f"(&T{i},_,Vec<T{i}>)->Once<T{i}>" for i in range(50)]
+    assert [r["line"] for r in got] == list(range(1, 101, 2))
+    literals = [(r["line"], r["owners"]) for r in parser.rows(source, "x") if r["kind"] == "literal"]
+    assert literals == [(r["line"], [r["pre"]]) for r in got]
+    assert len(met) < 150  # a type of each impl, twice, and those of one signature
+
+
+def test_statements_by_their_text():
+    """Pieces of lines as tokens of other layouts: at other places, before other tokens, behind dots and comments."""
+    from riskloom.rust.parser import rows
+
+    def said(source):
+        return [{k: v for k, v in r.items() if "line" not in k} for r in rows(source, "x")]
+
+    body = "if a { b(); } v.unwrap(); match x { 1 => { } 2 | 3 => { } _ => { } } if a { b(); } else { drop(v); } a.0 .0; x. 0;"
+    one = f"struct S; fn f(x: &S) {{\n{body}\n{body} // if\nlet q = a//\n= b;\n}}\nfn g() {{ {body} }}"
+    spread = one.replace("a//\n= b", "a = b").replace("// if", "").replace("; ", ";\n").replace("} ", "}\n").replace("{ ", "{\n")
+    assert said(one) == said(one) == said(spread)
+
+
+def test_only_read_functions_are_summed_up(monkeypatch):
+    from riskloom.rust import parser
+
+    met = []
+    real = parser.Summary.extend
+    monkeypatch.setattr(parser.Summary, "extend", lambda self, more, at: met.append(1) or real(self, more, at))
+    source = "fn f() {\nlet only = a; let only = a; match x { 1 => { } 2 => { } }\n}"
+    parser.rows(source, "x")
+    met.clear()
+    (match,) = parser.rows(source, "x", ("match",))
+    assert match["lit_match"] and match["owners"] == [0] and not met
+    assert not [r for r in parser.rows(source, "x", ("struct",))] and not met
+    assert parser.rows(source, "x", ("fn",))[0]["tokens"] == "let let match arm arm" and met

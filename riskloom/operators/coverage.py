@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..errors import BAD_JSON
 from ..functions.scores import saturate, under
+from ..session import ship
+from ..sources.export import CUT, functions
 
 
 def _missing(kind: str) -> Column:
@@ -16,12 +20,29 @@ def _missing(kind: str) -> Column:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """An exported coverage document: filenames and regions, a row a function.
-    A document that cannot be decoded, or lacks a field, is an error."""
-    raw = spark.read.json(path, schema=S.COVERAGE_EXPORT, multiLine=True, mode="FAILFAST")
-
-    data = raw.select(F.posexplode_outer("data").alias("d", "entry"), F.col("data").isNull().alias("_none"))
-    data = data.select("d", F.when(F.col("_none") | F.col("entry.functions").isNull() & F.col("d").isNotNull(), _missing("string")).alias("_e"), "entry")
-    rows = data.filter("_e is null and entry is not null").select("d", F.posexplode("entry.functions").alias("f", "fn"))
+    A document that cannot be decoded, or lacks a field, is an error.
+
+    Documents are cut into functions as they are read and never held whole;
+    Spark decodes a function at a time."""
+    ship(spark)
+
+    def run(pieces):
+        pieces = (text for _, text in pieces)
+        first = next(pieces, None)
+        if first is not None:
+            try:
+                yield from functions(itertools.chain([first], pieces))
+            except ValueError as e:
+                raise RuntimeError(f"{BAD_JSON}: {e}") from None
+
+    conf = {
+        "mapreduce.input.fileinputformat.inputdir": path.replace("\\", "\\\\").replace(",", "\\,"),
+        "mapreduce.input.fileinputformat.split.minsize": str(2**62),  # a document is read from its start to its end, by one task
+        "textinputformat.record.delimiter": CUT,
+    }
+    pieces = spark.sparkContext.newAPIHadoopRDD("org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text", conf=conf)
+    rows = spark.createDataFrame(pieces.mapPartitions(run), "d bigint, f bigint, text string", verifySchema=False)
+    rows = rows.select("d", "f", F.from_json("text", S.COVERED_FUNCTION, {"mode": "FAILFAST"}).alias("fn"))
     missing = F.col("fn.filenames").isNull() | F.col("fn.regions").isNull()
     return rows.select(
         F.struct("d", "f").alias("fn_id"),

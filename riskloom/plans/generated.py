@@ -292,19 +292,37 @@ l AS (SELECT user_id, day, hits, unnest(generate_series(s, e)) AS line FROM r WH
 pct AS (SELECT user_id, day, sum(CASE WHEN hits > 0 THEN 1.0::double ELSE 0.0::double END) / count(*) * 100.0::double AS p FROM per GROUP BY ALL), spans AS (SELECT user_id, day, min(s) AS s, max(e) AS e FROM r GROUP BY ALL)"""
 
 
+#: Regions of a document, about.
+REGIONS = 50_000
+
+
 def export(s, d) -> DataFrame:
-    """The regions of users' days as coverage exports, eight documents, as they are read back."""
+    """The regions of users' days as coverage exports, eight documents or more, as they are read back."""
     n = F.minute("ts").cast("bigint")
     kind = F.when(F.col("event_id") % 4 == 1, 2).otherwise(0)
     region = F.array(*[c.cast("bigint") for c in (n, F.lit(1), n + F.col("event_id") % 9 - 1, F.lit(1), F.col("event_id") % 3, F.lit(0), F.lit(0), kind)])
     root = F.when(F.col("user_id") % 5 == 0, "/proj2/").otherwise("/proj/")
     file = F.concat(root, F.col("user_id").cast("string"), F.lit("/"), F.to_date("ts").cast("string"))
-    fn = _t(s, d, "events").groupBy("user_id", file.alias("file")).agg(F.collect_list(region).alias("regions"))
-    fn = fn.select((F.col("user_id") % 8).alias("part"), F.struct(F.lit("f").alias("name"), F.array("file", F.lit("/other")).alias("filenames"), "regions").alias("fn"))
-    documents = fn.groupBy("part").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list("fn").alias("functions"))).alias("data"), F.lit("1").alias("version"))).alias("value"))
+    events = _t(s, d, "events")
+    # A task writes a document, a function at a time.
+    rows = events.select("event_id", "ts", "user_id", file.alias("file")).repartition(max(8, -(-events.count() // REGIONS)), "user_id", "file")
+    fn = rows.groupBy("user_id", "file").agg(F.collect_list(region).alias("regions"))
+    fn = fn.select(F.to_json(F.struct(F.lit("f").alias("name"), F.array("file", F.lit("/other")).alias("filenames"), "regions")).alias("value"))
+
+    def document(batches):
+        import pyarrow as pa
+
+        before = '{"data":[{"functions":['
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_pydict({"value": [before + texts[0], *("," + t for t in texts[1:])]})
+                before = ","
+        yield pa.RecordBatch.from_pydict({"value": [(before if before != "," else "") + ']}],"version":"1"}']})
+
     at = scratch_path(s, "export")
-    documents.write.partitionBy("part").text(at)
-    return C.read_export(s, f"{at}/*/*.txt")
+    fn.mapInArrow(document, "value string").write.text(at)
+    return C.read_export(s, f"{at}/*.txt")
 
 
 @_query("s7_g2_coverage_export", f"""WITH {_REGION} SELECT CASE WHEN user_id % 5 = 0 THEN '/proj2/' ELSE '/proj/' END || CAST(user_id AS VARCHAR) || '/' || CAST(day AS VARCHAR) AS file, count(*) AS regions FROM r GROUP BY ALL""")

@@ -9,7 +9,7 @@ COVERAGE = "file string, start_line bigint, end_line bigint, line_coverage_pct d
 IDIOMS = "file string, qualified_name string, demerits bigint, checks array<string>, sig_duplicate boolean, body_duplicate boolean, sig_fingerprint string, body_fingerprint string, ord bigint"
 RISK = "file string, name string, complexity bigint, coverage_pct double, crap_score double, idiom_penalty double, risk_score double, start_line bigint, checks array<string>, sig_duplicate boolean, body_duplicate boolean"
 REGION = "array<decimal(20,0)>"
-COVERAGE_EXPORT = f"data array<struct<functions: array<struct<filenames: array<string>, regions: array<{REGION}>>>>>"
+COVERED_FUNCTION = f"filenames array<string>, regions array<{REGION}>"
 ARTIFACT = "reason string, executable string, profile struct<test: boolean>"
 METADATA = "packages array<struct<name: string, targets: array<struct<kind: array<string>, src_path: string>>>>"
 

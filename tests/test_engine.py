@@ -43,6 +43,53 @@ def test_coverage_export(spark, tmp_path):
     assert [tuple(r) for r in C.function_coverage(C.read_export(spark, str(p)), "/proj").collect()] == [("/proj/a.rs", 5, 20, 100.0)]
 
 
+LISTED = [{"name": 'a"},{"', "filenames": ["/p/}, {.rs"], "regions": [[1, 1, 2, 1, 1]], "branches": [{}, {"a": {}}, {}]}, {}, {"filenames": ["\\"], "regions": []}]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_documents_are_cut_into_functions(indent):
+    from riskloom.sources.export import CUT, functions
+
+    doc = {"type": "x", "data": [{"files": [{"s": {"n": 1}, "t": {}}, {}], "functions": LISTED, "totals": {"a": {}, "b": {}}}, {"functions": []}, {"functions": LISTED[:1]}], "version": "1"}
+    text = json.dumps(doc, indent=indent)
+    want = [(0, i, fn) for i, fn in enumerate(LISTED)] + [(2, 0, LISTED[0])]
+    assert [(d, f, json.loads(t)) for d, f, t in functions(text.split(CUT))] == want
+    for end in range(len(text)):  # wherever it is cut off
+        with pytest.raises(ValueError):
+            list(functions(text[:end].split(CUT)))
+
+
+def test_documents_are_not_held_whole():
+    from riskloom.sources.export import functions
+
+    read = []
+
+    def pieces():
+        yield '{"data":[{"files":[{"a":1'
+        for i in range(1000):
+            read.append(i)
+            yield '{"segments":[1]'
+        yield '{}],"functions":[{"name":"f"'
+        for i in range(1000):
+            read.append(i)
+            yield '{"name":"f","regions":[]'
+        yield '{}]}]}'
+
+    done = [(f, len(read)) for _, f, _ in functions(pieces())]
+    assert len(done) == 1002 and all(n - f - 1000 <= 3 for f, n in done)
+
+
+@pytest.mark.parametrize("text", ["[]", "{}", '{"data":null}', '{"data":[null]}', '{"data":[{}]}', '{"data":[{"functions":null}]}', '{"data":[{"functions":[null]}]}', '{"data":[{"functions":[{"filenames":[]}]}]}', '{"data":[{"functions":[{"filenames":["a"],"regions":[["x"]]}]}]}', '{"data":[]} {}', '{"data":[],}', '{"data":[{"functions":[{"a":},{}]}]}'])
+def test_unreadable_export(spark, tmp_path, text):
+    from riskloom.errors import JsonError, translated
+
+    (tmp_path / "a,b").mkdir()
+    path = tmp_path / "a,b" / "cov.json"
+    path.write_text(text)
+    with pytest.raises(JsonError), translated():
+        C.function_coverage(C.read_export(spark, str(path)), "/proj").collect()
+
+
 def tables(spark, functions, coverage, idioms):
     return (
         spark.createDataFrame(functions, S.FUNCTIONS),

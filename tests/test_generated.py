@@ -92,3 +92,17 @@ def test_only_read_functions_are_summed_up(monkeypatch):
     assert match["lit_match"] and match["owners"] == [0] and not met
     assert not [r for r in parser.rows(source, "x", ("struct",))] and not met
     assert parser.rows(source, "x", ("fn",))[0]["tokens"] == "let let match arm arm" and met
+
+
+def test_exports_are_many_documents(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    events = [(i, i % 40) for i in range(400)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint").selectExpr("*", "timestamp_seconds(event_id * 60) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(G, "REGIONS", 10)
+    made = []
+    monkeypatch.setattr(G, "scratch_path", lambda s, name: made.append(tmp_path / name) or str(made[-1]))
+    got = {r.file: len(r.regions) for r in G.export(spark, str(tmp_path)).selectExpr("filenames[0] AS file", "regions").collect()}
+    assert sum(got.values()) == 400 and len(got) == 40
+    documents = list(Path(made[0]).glob("*.txt"))
+    assert len(documents) > 8 and max(d.stat().st_size for d in documents) < 400 * 20
